@@ -4,13 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Makes this package importable by the session's Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        with tempfile.NamedTemporaryFile(prefix="graphweft-", suffix=".zip", delete=False) as file, zipfile.ZipFile(file, "w") as archive:
+            for source in sorted(root.rglob("*.py")):
+                archive.write(source, source.relative_to(root.parent))
+        spark.sparkContext.addPyFile(file.name)
+        _shipped.add(app)
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """The Parquet table ``name`` of ``folder``, pruned to ``columns`` where any are given."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    df = ship(spark).read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
