@@ -10,11 +10,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphweft.llm import questions
 from graphweft.session import fresh_path
 
 EDITS = 4
+PIECES = T.ArrayType(T.StructType().add("length", T.IntegerType()).add("number", T.IntegerType()).add("piece", T.StringType()))
 
 
 def segments(form: str) -> list[tuple[int, int, str]]:
@@ -55,17 +57,17 @@ def within(a: str, b: str, most: int = EDITS) -> bool:
     return row.get(len(b), most + 1) <= most
 
 
-@F.pandas_udf("array<struct<length int, number int, piece string>>")
+@F.pandas_udf(PIECES)
 def _stored(form: pd.Series) -> pd.Series:
     return form.map(lambda f: [{"length": len(f), "number": i, "piece": p} for i, _, p in segments(f)])
 
 
-@F.pandas_udf("array<struct<length int, number int, piece string>>")
+@F.pandas_udf(PIECES)
 def _probed(form: pd.Series) -> pd.Series:
     return form.map(lambda f: [{"length": n, "number": i, "piece": p} for n, i, p in probes(f)])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([within(x, y) for x, y in zip(a, b)], dtype=bool)
 

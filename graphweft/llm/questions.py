@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphweft.llm.text import words
 
@@ -51,7 +52,7 @@ def vocabulary(questions: DataFrame, column: str) -> frozenset[str]:
     return frozenset(r.word for r in counts.select("word").toLocalIterator() if not any(c.isdigit() for c in r.word))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def folded_words(text: pd.Series) -> pd.Series:
     return text.map(words)
 
