@@ -10,6 +10,7 @@ only.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterable
 
@@ -33,8 +34,14 @@ FUNCTION = frozenset("the a an of in to as at by for on with from and into onto
 COURTESY = frozenset(
     "hi hello hey dear please kindly thanks thank you q quick question rephrased said answer one be brief could can would".split()
 )
+# What is said before and after a question.
+BEFORE = re.compile(
+    r"^(?:(?:hi|hello|hey|dear all|q|quick question|question \d+|rephrased|(?:please |kindly |can you |could you |would you )+tell me"
+    r"|tell me(?= (?:what|which|who|when|where|how|does|is|in|for|among|whether|if)\b)|i (?:would|want to|wish to) (?:like to )?know|please|kindly) )+"
+)
+AFTER = re.compile(r"(?: (?:please be brief|be brief|please|answer with the label only|one answer|thanks|thank you|many thanks))+$")
 PLAIN = frozenset(
-    "what which who whom whose when where why how many much does did is was were are has have had that this than then after before "
+    "what which who whom whose when where why how many much does did is was were are has have had that this than after before "
     "between among tell me name number total first".split()
 )
 #: A word is frequent in this share of the questions or more; the words of a question are few, so such words are at most some
@@ -105,7 +112,7 @@ class Reader:
         """Subject (names in order, then sorted numbers), form (likeliest known words in order), and the words kept for
         comparison, each joined by blanks."""
         names, numbers, form, kept = [], [], [], []
-        for w in text.split(" "):
+        for w in AFTER.sub("", BEFORE.sub("", text)).split(" "):
             if not w or w in COURTESY or w in FUNCTION:
                 continue
             if any(c.isdigit() for c in w):
