@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphweft.functions import values
 from graphweft.operators.algebra import Compiler
 from graphweft.plans import model as M
+from graphweft.session import cut
 from graphweft.sources.catalog import GraphCatalog
 
 ORDER = ["subject", "relation", "object"]
@@ -115,6 +116,8 @@ def materialize(catalog: GraphCatalog, program: M.Node, max_nodes: int = 10_000,
 
 def seed_context(catalog: GraphCatalog, ids: DataFrame, edges_each: int = 200, relations_each: int = 64) -> DataFrame:
     """Per entity its label and the relations leading out and in, from its first edges only."""
+    ids = cut(ids.select("entity_id").distinct())
+
     def side(near: str) -> DataFrame:
         rows = catalog.edges.withColumnRenamed(near, "entity_id").join(ids, "entity_id", "left_semi")
         far = "object" if near == "subject" else "subject"

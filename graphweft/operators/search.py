@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,10 @@ def scores(passages: DataFrame, query: str) -> DataFrame:
     Only the passages' lengths and the query's own tokens are aggregated; tokens of the query reach the driver's plan as
     constants.
     """
-    import re
-
     terms = sorted(set(re.findall(r"[a-z0-9]+", query.lower())))
     all_tokens = F.concat(tokens(F.coalesce("title", F.lit(""))), tokens(F.coalesce("text", F.lit(""))))
     rows = passages.select("page_id", "paragraph_id", all_tokens.alias("t")).withColumn("dl", F.size("t"))
-    counts = [F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(terms)]
+    counts = [(F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(terms)]
     rows = rows.select("page_id", "paragraph_id", "dl", *counts)
     names = [f"tf{i}" for i in range(len(terms))]
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(c) > 0).alias(f"df{i}") for i, c in enumerate(names)))

@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.queries import general
+from graphweft.queries import general, graph, tables
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**general.QUERIES}
+    return {**graph.QUERIES, **tables.QUERIES, **general.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return {**general.ORACLES}
+    return {**graph.ORACLES, **tables.ORACLES, **general.ORACLES}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return general.p3_paths(spark, folder)
+    return graph.QUERIES["kg_hop2_count"](spark, folder)

@@ -93,7 +93,18 @@ def _id(kind: str, key: str) -> F.Column:
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
 
+_STARS: dict[tuple[str, str], GraphCatalog] = {}
+
+
 def star_schema(spark: SparkSession, folder: str) -> GraphCatalog:
+    """The graph of ``folder``; its plans, not its rows, are kept for the session."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STARS:
+        _STARS[key] = _star_schema(spark, folder)
+    return _STARS[key]
+
+
+def _star_schema(spark: SparkSession, folder: str) -> GraphCatalog:
     """The graph of an order-processing star schema: regions, nations, customers, suppliers, parts and orders as entities,
     keys as edges, measures as attributes, line items as qualified facts.  Every branch carries its relation, key or kind as a
     constant, so that a filter on it leaves a scan of one table with the columns needed."""
