@@ -151,13 +151,12 @@ def convert(rows: DataFrame, common_units: DataFrame) -> DataFrame:
     keys = keys.join(base, (keys.dimension == base.dimension) & (F.lower("_common") == base["_l"])).select(keys.dimension, "_key", "_common", "_cf", "_co")
     added = ["number", "unit", "unit_from", "common_value", "common_unit"]
     kept = [c for c in rows.columns if c not in added]
+    # What passes through travels as one struct, so that no name of it can clash.
     out = (
-        rows.withColumn("_key", plain_key(F.col("key")))
+        rows.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), plain_key(F.col("key")).alias("_key"), F.col("source").alias("_source"), number_and_unit(F.col("value")).alias("_read"), F.nullif(plain(F.col("unit")), F.lit("")).alias("_field"))
         .join(F.broadcast(keys), "_key")
-        .withColumn("_read", number_and_unit(F.col("value")))
         .withColumn("_number", F.col("_read.number"))
         .withColumn("_text", F.col("_read.unit"))
-        .withColumn("_field", F.nullif(plain(F.col("unit")), F.lit("")))
     )
     none = (F.col("dimension") != "count") & (F.col("_field") == "1")
     counted = (F.col("dimension") == "count") & (F.coalesce("_field", F.lit("1")) == "1")
@@ -168,17 +167,17 @@ def convert(rows: DataFrame, common_units: DataFrame) -> DataFrame:
     said = F.when(F.col("_field").isNotNull(), F.col("_field_unit")).when(F.col("_text").isNotNull(), F.col("_text_unit")).when(F.col("dimension") == "count", F.lit("1"))
     silent = F.col("_field").isNull() & F.col("_text").isNull() & (F.col("dimension") != "count")
     out = out.withColumn("_said", said)
-    habit = out.filter(F.col("_said").isNotNull() & ~F.col("_said").isin("hour and minute", "foot and inch")).groupBy(F.col("source").alias("_source"), F.col("_key").alias("_hkey"), "_said").count()
-    habit = habit.groupBy("_source", "_hkey").agg(F.max_by("_said", F.struct("count", "_said")).alias("_habit"))
-    needs = out.filter(silent).join(habit, (F.col("source").eqNullSafe(F.col("_source"))) & (F.col("_key") == F.col("_hkey")), "left")
-    out = out.filter(~silent).withColumn("_habit", F.lit(None).cast("string")).unionByName(needs.drop("_source", "_hkey"))
+    habit = out.filter(F.col("_said").isNotNull() & ~F.col("_said").isin("hour and minute", "foot and inch")).groupBy(F.col("_source").alias("_hsource"), F.col("_key").alias("_hkey"), "_said").count()
+    habit = habit.groupBy("_hsource", "_hkey").agg(F.max_by("_said", F.struct("count", "_said")).alias("_habit"))
+    needs = out.filter(silent).join(habit, F.col("_source").eqNullSafe(F.col("_hsource")) & (F.col("_key") == F.col("_hkey")), "left")
+    out = out.filter(~silent).withColumn("_habit", F.lit(None).cast("string")).unionByName(needs.drop("_hsource", "_hkey"))
     final = aliases.select(F.col("dimension").alias("_d"), F.col("unit").alias("_u"), "factor", "offset").distinct()
     chosen = F.coalesce("_said", "_habit")
     out = out.withColumn("_unit", F.when(F.col("_number").isNotNull(), chosen))
     out = out.join(F.broadcast(final), (out.dimension == final["_d"]) & (out["_unit"] == final["_u"]), "left")
     origin = F.when(F.col("_field").isNotNull(), "field").when(F.col("_text").isNotNull(), "text").when(F.col("dimension") == "count", "field").otherwise("source")
     return out.select(
-        *(F.col(c) for c in kept),
+        *(F.col("_row").getField(c).alias(c) for c in kept),
         F.col("_number").alias("number"),
         F.col("_unit").alias("unit"),
         F.when(F.col("_unit").isNotNull(), origin).alias("unit_from"),

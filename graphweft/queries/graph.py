@@ -64,15 +64,15 @@ _program("kg_filter_type", FilterType(ALL, "segment:BUILDING"), _ids("'customer:
 _program("kg_filter_literal_qty", FilterLiteral(ALL, "acctbal", "gt", Literal(5000, *USD)), _ids("i AS entity_id FROM (SELECT 'customer:' || c_custkey AS i FROM customer WHERE CAST(c_acctbal AS DECIMAL(18,2)) > 5000 UNION SELECT 'supplier:' || s_suppkey FROM supplier WHERE CAST(s_acctbal AS DECIMAL(18,2)) > 5000)"))
 _program("kg_filter_literal_date", FilterLiteral(ALL, "orderdate", "ge", Literal("1996/06/15", "date")), _ids("'order:' || o_orderkey AS entity_id FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1996-06-15'"))
 _program("kg_filter_literal_year", FilterLiteral(ALL, "orderdate", "eq", Literal(1995, "year")), _ids("'order:' || o_orderkey AS entity_id FROM orders WHERE year(o_orderdate) = 1995"))
-_program("kg_filter_literal_contains", FilterLiteral(ALL, "ptype", "contains", Literal("steel")), _ids("'part:' || p_partkey AS entity_id FROM part WHERE contains(lower(p_type), 'steel')"))
+_program("kg_filter_literal_contains", FilterLiteral(ALL, "ptype", "contains", Literal("prom")), _ids("'part:' || p_partkey AS entity_id FROM part WHERE contains(lower(p_type), 'prom')"))
 _program("kg_filter_literal_text_target", FilterLiteral(ALL, "acctbal", "le", Literal("100 USD")), _ids("i AS entity_id FROM (SELECT 'customer:' || c_custkey AS i FROM customer WHERE CAST(c_acctbal AS DECIMAL(18,2)) <= 100 UNION SELECT 'supplier:' || s_suppkey FROM supplier WHERE CAST(s_acctbal AS DECIMAL(18,2)) <= 100)"))
 _program("kg_filter_literal_ne_unit_mismatch", FilterLiteral(ALL, "acctbal", "ne", Literal(1, "quantity", "EUR")), _ids("'customer:' || c_custkey AS entity_id FROM customer WHERE false"))
 _program("kg_filter_qualifier_qty", FilterQualifier(Hop(FilterType(ALL, "order"), "contains"), "quantity", "ge", Literal(50, "quantity")), _ids("'part:' || l_partkey AS entity_id FROM lineitem WHERE CAST(l_quantity AS DECIMAL(18,2)) >= 50"))
-_program("kg_filter_qualifier_date", FilterQualifier(Hop(FilterType(ALL, "part"), "contains", "in"), "shipdate", "lt", Literal("1993/01/01", "date")), _ids("'order:' || l_orderkey AS entity_id FROM lineitem WHERE CAST(l_shipdate AS DATE) < DATE '1993-01-01'"))
+_program("kg_filter_qualifier_date", FilterQualifier(Hop(FilterType(ALL, "part"), "contains", "in"), "shipdate", "lt", Literal("1995/03/01", "date")), _ids("'order:' || l_orderkey AS entity_id FROM lineitem WHERE CAST(l_shipdate AS DATE) < DATE '1995-03-01'"))
 _program("kg_filter_qualifier_literal", FilterQualifier(FilterLiteral(ALL, "totalprice", "gt", Literal(200000, *USD)), "status", "eq", Literal("F")), _ids("'order:' || o_orderkey AS entity_id FROM orders WHERE CAST(o_totalprice AS DECIMAL(18,2)) > 200000 AND o_orderstatus = 'F'"))
 _program("kg_attr", QueryAttribute(Hop(Entity("nation:3"), "lives_in", "in"), "acctbal"), "SELECT DISTINCT 'literal' AS kind, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) || ' USD' AS value FROM customer WHERE c_nationkey = 3")
 _program("kg_attr_date", QueryAttribute(Hop(Entity("customer:1"), "placed_by", "in"), "orderdate"), "SELECT DISTINCT 'literal' AS kind, strftime(o_orderdate, '%Y-%m-%d') AS value FROM orders WHERE o_custkey = 1")
-_program("kg_attr_under_cond", QueryAttributeUnderCondition(FilterType(ALL, "order"), "totalprice", "orderdate", Literal(1994, "year")), "SELECT DISTINCT 'literal' AS kind, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || ' USD' AS value FROM orders WHERE year(o_orderdate) = 1994")
+_program("kg_attr_under_cond", QueryAttributeUnderCondition(FilterType(ALL, "order"), "totalprice", "orderdate", Literal(1997, "year")), "SELECT DISTINCT 'literal' AS kind, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || ' USD' AS value FROM orders WHERE year(o_orderdate) = 1997")
 
 
 def _dearest(spark: SparkSession, folder: str) -> Node:
@@ -215,13 +215,13 @@ def kopl_count(spark: SparkSession, folder: str) -> DataFrame:
     return execute(star_schema(spark, folder), kopl.Importer(names, {}).convert(steps))
 
 
-@_query("SELECT 'entity' AS kind, 'order:' || o_orderkey AS value FROM orders WHERE CAST(o_totalprice AS DECIMAL(18,2)) > 300000 AND year(o_orderdate) < 1995")
+@_query("SELECT 'entity' AS kind, 'order:' || o_orderkey AS value FROM orders WHERE CAST(o_totalprice AS DECIMAL(18,2)) > 300000 AND year(o_orderdate) < 1998")
 def kopl_filters(spark: SparkSession, folder: str) -> DataFrame:
     steps = [
         {"function": "FindAll", "dependencies": [], "inputs": []},
         {"function": "FilterConcept", "dependencies": [0], "inputs": ["order"]},
         {"function": "FilterNum", "dependencies": [1], "inputs": ["totalprice", "300000 USD", ">"]},
-        {"function": "FilterYear", "dependencies": [2], "inputs": ["orderdate", "1995", "<"]},
+        {"function": "FilterYear", "dependencies": [2], "inputs": ["orderdate", "1998", "<"]},
         {"function": "What", "dependencies": [3], "inputs": []},
     ]
     return execute(star_schema(spark, folder), kopl.Importer({}, {"order": ["order"]}).convert(steps))
