@@ -38,10 +38,10 @@ def draw(rows: DataFrame, source: str, row: str, k: int, seed: int) -> DataFrame
     (the least by the remaining columns) comes out.  The same seed gives the same sample, however the rows are cut into pieces.
     The number of sources is that of a configuration: their counts are collected.
     """
-    rows = rows.filter(F.col(source).isNotNull() & F.col(row).isNotNull())
+    rest = [c for c in rows.columns if c not in (source, row)]
+    rows = rows.filter(F.col(source).isNotNull() & F.col(row).isNotNull()).select(source, row, F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
     counts = {r[0]: r[1] for r in rows.select(source, row).distinct().groupBy(source).count().collect()}
     keyed = rows.withColumn("_key", random_key(seed, F.col(source), F.col(row)))
-    rest = [c for c in rows.columns if c not in (source, row)]
     done, failure = None, FAILURE
     wanted = dict(counts)
     while wanted:
@@ -51,7 +51,7 @@ def draw(rows: DataFrame, source: str, row: str, k: int, seed: int) -> DataFrame
         for s, (low, high) in limits.items():
             keep = keep | ((F.col(source) == s) & (F.col("_key") < high))
             accept = accept | ((F.col(source) == s) & (F.col("_key") < low))
-        near = keyed.filter(keep).groupBy(source, row).agg(F.min("_key").alias("_key"), F.min(F.struct(*rest)).alias("_rest")) if rest else keyed.filter(keep).select(source, row, "_key").distinct()
+        near = keyed.filter(keep).groupBy(source, row).agg(F.min("_key").alias("_key"), F.min("_rest").alias("_rest"))
         near = cut(near.withColumn("_sure", accept))
         sizes = {r[0]: (r[1], r[2]) for r in near.groupBy(source).agg(F.count_if("_sure"), F.count("*")).collect()}
         failed = {s: n for s, n in wanted.items() if sizes.get(s, (0, 0))[0] > k or sizes.get(s, (0, 0))[1] < min(k, n)}
@@ -65,5 +65,5 @@ def draw(rows: DataFrame, source: str, row: str, k: int, seed: int) -> DataFrame
         if failure < 1e-300:
             raise RuntimeError("keys are not random")
     if done is None:
-        done = keyed.limit(0).groupBy(source, row).agg(F.min("_key").alias("_key"), F.min(F.struct(*rest)).alias("_rest")).withColumn("_sure", F.lit(False)) if rest else keyed.limit(0).withColumn("_sure", F.lit(False))
-    return done.select(source, row, *([F.col(f"_rest.{c}").alias(c) for c in rest]))
+        done = keyed.limit(0)
+    return done.select(source, row, *([F.col("_rest").getField(c).alias(c) for c in rest]))
