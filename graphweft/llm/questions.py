@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,13 +50,13 @@ FREQUENT = 0.001
 LEFT_OVER = 2
 
 
-def vocabulary(questions: DataFrame, column: str) -> frozenset[str]:
-    """The frequent words of the distinct questions: at most (words of a question) / ``FREQUENT`` words reach the driver."""
+def vocabulary(questions: DataFrame, column: str) -> dict[str, int]:
+    """The frequent words of the distinct questions, and how many have them: at most (words of a question) / ``FREQUENT`` words reach the driver."""
     texts = questions.select(F.col(column).alias("q")).filter("q is not null").distinct()
     tokens = texts.select(F.explode(F.array_distinct(folded_words(F.col("q")))).alias("word"))
     n = texts.count()
     counts = tokens.groupBy("word").count().filter(F.col("count") >= max(3, math.ceil(FREQUENT * n)))
-    return frozenset(r.word for r in counts.select("word").toLocalIterator() if not any(c.isdigit() for c in r.word))
+    return {r.word: r["count"] for r in counts.toLocalIterator() if not any(c.isdigit() for c in r.word)}
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -81,7 +81,8 @@ def one_slip(a: str, b: str) -> bool:
 class Reader:
     """Reads questions against a vocabulary; one per Python worker."""
 
-    def __init__(self, vocabulary_: Iterable[str]):
+    def __init__(self, vocabulary_: Mapping[str, int] | Iterable[str]):
+        self.counts = dict(vocabulary_) if isinstance(vocabulary_, Mapping) else {}
         self.known = frozenset(vocabulary_) | PLAIN | FUNCTION | COURTESY | frozenset(LIKE) | frozenset(LIKE.values())
         self.dropped: dict[str, list[str]] = {}
         for w in self.known:
@@ -122,11 +123,11 @@ class Reader:
             if not meant:
                 names.append(w)
                 continue
-            likely = sorted({LIKE.get(m, m) for m in meant})
+            likely = max(meant, key=lambda m: (self.counts.get(m, 0), m))
             if w not in self.known and all(m in COURTESY or m in FUNCTION for m in meant):
                 continue
             kept.append(LIKE.get(w, w))
-            form.append(likely[0])
+            form.append(LIKE.get(likely, likely))
         return " ".join([*names, "|", *sorted(numbers)]), " ".join(form), " ".join(kept)
 
     def same(self, a: str, b: str) -> bool:
@@ -146,7 +147,7 @@ class Reader:
         return not (left and right) and len(left) + len(right) <= LEFT_OVER
 
 
-def reading(vocabulary_: frozenset[str]) -> Callable[[Column], Column]:
+def reading(vocabulary_: Mapping[str, int]) -> Callable[[Column], Column]:
     """A column function: folded words joined by blanks to a struct of ``subject``, ``form`` and ``kept``."""
     made: list[Reader] = []
 
@@ -159,7 +160,7 @@ def reading(vocabulary_: frozenset[str]) -> Callable[[Column], Column]:
     return read
 
 
-def sameness(vocabulary_: frozenset[str]) -> Callable[[Column, Column], Column]:
+def sameness(vocabulary_: Mapping[str, int]) -> Callable[[Column, Column], Column]:
     made: list[Reader] = []
 
     @F.pandas_udf("boolean")
