@@ -113,19 +113,20 @@ class Store:
     def repeats(self, batch: DataFrame) -> DataFrame:
         """Pairs ``task`` of the (read) batch and ``accepted`` task it repeats."""
         old = self.tasks()
-        by_digest = batch.filter("signature is not null").select(F.col("task_id").alias("task"), "signature").join(old.select(F.col("task_id").alias("accepted"), "signature"), "signature").select("task", "accepted")
-        stored = self.spark.read.parquet(f"{self.path}/segments").select("subject", F.col("form").alias("old_form"), "length", "number", "piece")
+        # Both sides of every join here grow, so none is broadcast: the hints keep them off the driver.
+        by_digest = batch.filter("signature is not null").select(F.col("task_id").alias("task"), "signature").join(old.select(F.col("task_id").alias("accepted"), "signature").hint("merge"), "signature").select("task", "accepted")
+        stored = self.spark.read.parquet(f"{self.path}/segments").select("subject", F.col("form").alias("old_form"), "length", "number", "piece").hint("merge")
         forms = batch.filter("form is not null").select("subject", "form").distinct()
         probed = forms.select("subject", "form", F.explode(_probed("form")).alias("p")).select("subject", "form", "p.*")
         met = probed.join(stored, ["subject", "length", "number", "piece"]).select("subject", "form", "old_form").distinct().filter(_near("form", "old_form"))
         same = questions.sameness(self.vocabulary)
         texts = ["subject", "form", "kept"]
         new_kept, old_kept = (df.filter("form is not null").select(*texts).distinct() for df in (batch, old))
-        pairs = met.join(new_kept, ["subject", "form"]).join(old_kept.select("subject", F.col("form").alias("old_form"), F.col("kept").alias("old_kept")), ["subject", "old_form"])
+        pairs = met.join(new_kept.hint("merge"), ["subject", "form"]).join(old_kept.select("subject", F.col("form").alias("old_form"), F.col("kept").alias("old_kept")).hint("merge"), ["subject", "old_form"])
         pairs = pairs.filter(same("kept", "old_kept"))
         by_question = (
-            pairs.join(batch.select(F.col("task_id").alias("task"), *texts), texts)
-            .join(old.select(F.col("task_id").alias("accepted"), "subject", F.col("form").alias("old_form"), F.col("kept").alias("old_kept")), ["subject", "old_form", "old_kept"])
+            pairs.join(batch.select(F.col("task_id").alias("task"), *texts).hint("merge"), texts)
+            .join(old.select(F.col("task_id").alias("accepted"), "subject", F.col("form").alias("old_form"), F.col("kept").alias("old_kept")).hint("merge"), ["subject", "old_form", "old_kept"])
             .select("task", "accepted")
         )
         return by_digest.unionByName(by_question).distinct()
@@ -152,6 +153,6 @@ def check_batches(tasks: DataFrame, history_batch: int = 0) -> tuple[Store, Data
         pairs_at = fresh_path(spark, "pairs")
         store.repeats(batch).write.parquet(pairs_at)
         pairs = spark.read.parquet(pairs_at)
-        store.accept(batch.join(pairs.select(F.col("task").alias("task_id")).distinct(), "task_id", "left_anti"))
+        store.accept(batch.join(pairs.select(F.col("task").alias("task_id")).distinct().hint("merge"), "task_id", "left_anti"))
         pairs.write.mode("append").parquet(found)
     return store, spark.read.parquet(found)
