@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.operators import units
-from graphweft.session import fresh_path, partitions
+from graphweft.session import cut, fresh_path, partitions
 
 FAN_IN = 6
 #: A wide table has a column per attribute; more than this is refused, not cut.
@@ -64,17 +64,16 @@ def prevailing_types(rows: DataFrame) -> DataFrame:
     return counts.groupBy("attribute").agg(F.coalesce(F.max_by("kind", rank), F.lit("string")).alias("type")).filter("attribute <> ''")
 
 
-def cells(rows: DataFrame, common_units: DataFrame) -> DataFrame:
+def cells(rows: DataFrame, common_units: DataFrame, types: DataFrame) -> DataFrame:
     """One row per entity and attribute: ``entity_id``, ``attribute``, ``number``, ``day``, ``text`` (the value last
     recorded, in the column of its type), ``stated`` (rows that state a value), ``conflict`` (they state different ones).
 
-    Values are read by the attribute's prevailing type.  Quantities are compared in the common unit with a tolerance of 1 %,
+    Values are read by the attribute's prevailing type (``types``: attribute, type).  Quantities are compared in the common unit with a tolerance of 1 %,
     all else exactly, strings trimmed and without regard to case.  Cells whose rows state nothing are left out, as are rows
     with NULL or blank entity or key.  Rows are expected once each (``units.distinct_rows``).
     """
-    types = prevailing_types(rows)
     typed = rows.select("row_id", F.col("entity_id"), "key", "value", "unit", "source", "recorded_at", units.plain_key(F.col("key")).alias("attribute")).filter("trim(entity_id) <> ''")
-    typed = typed.join(types, "attribute")
+    typed = typed.join(F.broadcast(types), "attribute")  # as many rows as the wide table has columns
     measured = common_units.select(units.plain_key(F.col("key")).alias("attribute")).distinct()
     quantity = F.col("type") == "quantity"
     of_unit = units.convert(typed.filter(quantity), common_units)
@@ -110,12 +109,12 @@ def widen(rows: DataFrame, common_units: DataFrame) -> DataFrame:
     ``entity_id`` and ``conflicts``.
     """
     spark = rows.sparkSession
-    rows = units.distinct_rows(rows)
+    rows = cut(units.distinct_rows(rows))
     types = [(r.attribute, r.type) for r in prevailing_types(rows).orderBy("attribute").limit(MAX_ATTRIBUTES + 1).collect()]
     if len(types) > MAX_ATTRIBUTES:
         raise ValueError(f"more than {MAX_ATTRIBUTES} attributes: no table is that wide")
-    number = spark.createDataFrame([(a, i) for i, (a, _) in enumerate(types)], "attribute string, part int")
-    found = cells(rows, common_units).join(F.broadcast(number), "attribute")
+    known = spark.createDataFrame([(a, t, i) for i, (a, t) in enumerate(types)], "attribute string, type string, part int")
+    found = cells(rows, common_units, known.select("attribute", "type")).join(F.broadcast(known.select("attribute", "part")), "attribute")
     n = partitions(spark)
     narrow = _bucketed(found.select("part", "entity_id", "number", "day", "text", "conflict"), n, "part")
     spine = _bucketed(narrow.select("entity_id").distinct(), n)
