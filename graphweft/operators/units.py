@@ -158,30 +158,27 @@ def convert(rows: DataFrame, common_units: DataFrame) -> DataFrame:
         .withColumn("_number", F.col("_read.number"))
         .withColumn("_text", F.col("_read.unit"))
     )
-    none = (F.col("dimension") != "count") & (F.col("_field") == "1")
-    counted = (F.col("dimension") == "count") & (F.coalesce("_field", F.lit("1")) == "1")
-    out = out.withColumn("_field", F.when(none | counted, F.lit(None)).otherwise(F.col("_field")))
-    for side in ("_field", "_text"):
-        own = aliases.select(*(F.col(c).alias(f"{side}_{c}") for c in aliases.columns))
-        out = out.join(F.broadcast(own), (out.dimension == own[f"{side}_dimension"]) & (out[side] == own[f"{side}_alias"]), "left")
-    said = F.when(F.col("_field").isNotNull(), F.col("_field_unit")).when(F.col("_text").isNotNull(), F.col("_text_unit")).when(F.col("dimension") == "count", F.lit("1"))
-    silent = F.col("_field").isNull() & F.col("_text").isNull() & (F.col("dimension") != "count")
-    out = out.withColumn("_said", said)
-    habit = out.filter(F.col("_said").isNotNull() & ~F.col("_said").isin("hour and minute", "foot and inch")).groupBy(F.col("_source").alias("_hsource"), F.col("_key").alias("_hkey"), "_said").count()
-    habit = habit.groupBy("_hsource", "_hkey").agg(F.max_by("_said", F.struct("count", "_said")).alias("_habit"))
-    needs = out.filter(silent).join(habit, F.col("_source").eqNullSafe(F.col("_hsource")) & (F.col("_key") == F.col("_hkey")), "left")
-    out = out.filter(~silent).withColumn("_habit", F.lit(None).cast("string")).unionByName(needs.drop("_hsource", "_hkey"))
-    final = aliases.select(F.col("dimension").alias("_d"), F.col("unit").alias("_u"), "factor", "offset").distinct()
-    chosen = F.coalesce("_said", "_habit")
-    out = out.withColumn("_unit", F.when(F.col("_number").isNotNull(), chosen))
-    out = out.join(F.broadcast(final), (out.dimension == final["_d"]) & (out["_unit"] == final["_u"]), "left")
-    origin = F.when(F.col("_field").isNotNull(), "field").when(F.col("_text").isNotNull(), "text").when(F.col("dimension") == "count", "field").otherwise("source")
+    one = F.col("_field") == "1"
+    field = F.when(one, None).otherwise(F.col("_field"))
+    counted = (F.col("dimension") == "count") & F.coalesce(field, F.col("_text")).isNull()
+    out = out.withColumn("_alias", F.coalesce(field, F.col("_text"), F.when(counted, "1")))
+    origin = F.when(field.isNotNull() | counted, "field").when(F.col("_text").isNotNull(), "text")
+    out = out.withColumn("_from", origin)
+    own = aliases.withColumnRenamed("dimension", "_d")
+    out = out.join(F.broadcast(own), (F.col("dimension") == F.col("_d")) & (F.col("_alias") == F.col("alias")), "left").withColumnsRenamed({"unit": "_unit", "factor": "_factor", "offset": "_offset"})
+    simple = F.col("_unit").isNotNull() & ~F.col("_unit").isin("hour and minute", "foot and inch")
+    habit = out.filter(simple).groupBy(F.col("_source").alias("_hsource"), F.col("_key").alias("_hkey"), "_unit", "_factor", "_offset").count()
+    habit = habit.groupBy("_hsource", "_hkey").agg(F.max(F.struct("count", F.col("_unit").alias("u"), F.col("_factor").alias("f"), F.col("_offset").alias("o"))).alias("_h"))
+    out = out.join(habit, F.col("_source").eqNullSafe(F.col("_hsource")) & (F.col("_key") == F.col("_hkey")), "left")
+    habitual = F.col("_alias").isNull()
+    unit, factor, offset = (F.when(habitual, F.col(f"_h.{h}")).otherwise(F.col(c)) for h, c in (("u", "_unit"), ("f", "_factor"), ("o", "_offset")))
+    given = F.col("_number").isNotNull()
     return out.select(
         *(F.col("_row").getField(c).alias(c) for c in kept),
         F.col("_number").alias("number"),
-        F.col("_unit").alias("unit"),
-        F.when(F.col("_unit").isNotNull(), origin).alias("unit_from"),
-        F.when(F.col("_unit") == F.col("_common"), F.col("_number")).otherwise((F.col("_number") * F.col("factor") + F.col("offset") - F.col("_co")) / F.col("_cf")).alias("common_value"),
+        F.when(given, unit).alias("unit"),
+        F.when(given & unit.isNotNull(), F.coalesce("_from", F.lit("source"))).alias("unit_from"),
+        F.when(unit == F.col("_common"), F.col("_number")).otherwise((F.col("_number") * factor + offset - F.col("_co")) / F.col("_cf")).alias("common_value"),
         F.col("_common").alias("common_unit"),
     )
 
