@@ -1,13 +1,14 @@
 """Questions of evaluation splits that occur in the training split.
 
 Evaluation questions are cut into shards; each shard gets a full-text index (suffix order, Burrows-Wheeler transform, rank
-lists).  Training questions are streamed through the index by backward search, which yields all maximal matches; spans on
-one evaluation question are merged and counted, and a comparison word by word decides.
+lists).  Training questions are streamed through the index by backward search, which yields the maximal matches with every
+evaluation question of the subject; a comparison word by word decides, and spans on one evaluation question are merged and
+counted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,7 @@ class FullTextIndex:
     def __init__(self, texts: list[list[int]], symbols: int):
         self.starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
         flat = np.fromiter((s + 1 for t in texts for s in (*t, -1)), dtype=np.int64)  # 0 ends a text
+        self.flat = flat
         self.suffixes = _suffix_order(flat)
         last = flat[self.suffixes - 1]
         order = np.argsort(last, kind="stable")
@@ -54,6 +56,24 @@ class FullTextIndex:
                 covered = begin
                 yield begin, end, self.suffixes[low:high]
 
+    def maximal_each(self, pattern: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """As ``maximal``, but maximal for each place by itself: a longer match in one text hides none in another.  Every place
+        of a symbol of the pattern is in some match."""
+        for end in range(len(pattern), 0, -1):
+            low, high, begin = 0, self.length, end
+            while low < high:
+                known = begin and pattern[begin - 1] >= 0
+                a, b = self._step(pattern[begin - 1], low, high) if known else (0, 0)
+                if begin < end:
+                    stays = np.ones(high - low, dtype=bool)
+                    stays[self.ranks[a:b] - low] = False  # these are longer on the left
+                    places = self.suffixes[low:high][stays]
+                    if end < len(pattern) and pattern[end] >= 0:
+                        places = places[self.flat[places + end - begin] != pattern[end] + 1]
+                    if len(places):
+                        yield begin, end, places
+                low, high, begin = a, b, begin - 1
+
     def located(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Text and offset of places in the flat text."""
         text = np.searchsorted(self.starts, places, side="right") - 1
@@ -74,27 +94,32 @@ def _suffix_order(flat: np.ndarray) -> np.ndarray:
         rank, width = new, width * 2
 
 
-def matches(train: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-    """Maximal matches of one shard, merged: a row per training and evaluation question that share any.
+def matches(train: pd.DataFrame, held: pd.DataFrame, same: Callable[[str, str], bool]) -> pd.DataFrame:
+    """Maximal matches of one shard, merged: a row per training and evaluation question of one subject that ``same`` accepts.
 
     A symbol is a word together with the question's subject, so that questions about different things share none; the
-    subject alone is the first symbol.
+    subject alone is the first symbol.  It is shared by all questions of the subject, so each of them is compared.
     """
     ids: dict[tuple[str, str], int] = {}
     texts = [[ids.setdefault((s, w), len(ids)) for w in ("", *f.split(" "))] for s, f in zip(held.subject, held.form)]
-    out: list[tuple[str, str, str, str, int, int, int]] = []
+    out: list[tuple[str, str, int, int, int]] = []
     if texts and len(train):
         index = FullTextIndex(texts, len(ids))
         for t_text, subject, form, kept in zip(train.folded, train.subject, train.form, train.kept):
+            alike: dict[int, bool] = {}
             spans: dict[int, set[int]] = {}
             longest: dict[int, int] = {}
-            for begin, end, places in index.maximal([ids.get((subject, w), -1) for w in ("", *form.split(" "))]):
+            for begin, end, places in index.maximal_each([ids.get((subject, w), -1) for w in ("", *form.split(" "))]):
                 for text, offset in zip(*index.located(places)):
+                    if int(text) not in alike:
+                        alike[int(text)] = same(kept, held.kept[text])
+                    if not alike[int(text)]:
+                        continue
                     spans.setdefault(int(text), set()).update(range(int(offset), int(offset) + end - begin))
                     longest[int(text)] = max(longest.get(int(text), 0), end - begin)
             for text, covered in spans.items():
-                out.append((t_text, held.folded[text], kept, held.kept[text], len(covered), longest[text], len(texts[text])))
-    return pd.DataFrame(out, columns=["train", "held", "train_kept", "held_kept", "covered", "longest", "length"])
+                out.append((t_text, held.folded[text], len(covered), longest[text], len(texts[text])))
+    return pd.DataFrame(out, columns=["train", "held", "covered", "longest", "length"])
 
 
 def text_pairs(train: DataFrame, held: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
@@ -121,9 +146,14 @@ def text_pairs(train: DataFrame, held: DataFrame, vocabulary: dict[str, int]) ->
     columns = ["shard", "tp", "hp", "folded", "subject", "form", "kept"]
     t, h = (df.select(*columns).toDF(*columns) for df in (t, h))
     keys = ["shard", "tp", "hp"]
-    found = t.groupBy(*keys).cogroup(h.groupBy(*keys)).applyInPandas(matches, "train string, held string, train_kept string, held_kept string, covered int, longest int, length int")
-    same = questions.sameness(vocabulary)
-    return found.filter(same("train_kept", "held_kept")).drop("train_kept", "held_kept")
+    made: list[questions.Reader] = []
+
+    def compared(train: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not made:
+            made.append(questions.Reader(vocabulary))
+        return matches(train, held, made[0].same)
+
+    return t.groupBy(*keys).cogroup(h.groupBy(*keys)).applyInPandas(compared, "train string, held string, covered int, longest int, length int")
 
 
 # How the splits are written.

@@ -84,6 +84,23 @@ def test_index_finds_all_maximal_matches():
         assert got == want
 
 
+def test_index_finds_maximal_matches_of_every_text():
+    rng = random.Random(4)
+    texts = [[rng.randrange(4) for _ in range(rng.randrange(1, 9))] for _ in range(30)]
+    index = overlap.FullTextIndex(texts, 4)
+    for _ in range(200):
+        p = [rng.randrange(5) for _ in range(rng.randrange(1, 9))]
+        want = set()
+        for t, x in enumerate(texts):
+            for k in range(len(x)):
+                for b in range(len(p)):
+                    n = next((n for n in range(len(p) - b + 1) if b + n == len(p) or k + n == len(x) or p[b + n] != x[k + n]))
+                    if n and not (b and k and p[b - 1] == x[k - 1]):
+                        want.add((b, b + n, t, k))
+        got = [(b, e, int(t), int(k)) for b, e, where in index.maximal_each([s if s < 4 else -1 for s in p]) for t, k in zip(*index.located(where))]
+        assert set(got) == want and len(got) == len(want)
+
+
 SCHEMA = "example_id string, dataset string, split string, question string"
 
 
@@ -102,6 +119,15 @@ def test_cross_split(spark):
     assert overlap.cross_split(given.limit(0)).count() == 0
 
 
+def test_an_exact_copy_hides_no_variant(spark):
+    variant = {"v": Q.replace("is the official", "is the first official"), "w": "Which is the northern mill, official supplier of Tytema Kibykal, and had in 1475 recorded its population?"}
+    fill = [("f%d" % i, "train", f"Which northern mill is the official supplier of Abcdu Efghi{i} and had its population recorded in 15{i:02}?") for i in range(20)]
+    given = examples(spark, ("t", "train", Q), ("a", "test", Q), *((i, "test", q) for i, q in variant.items()), ("o", "test", OTHER[2]), *fill)
+    out = {(r.train_id, r.held_id): r for r in overlap.cross_split(given).collect()}
+    assert set(out) == {("t", "a"), ("t", "v"), ("t", "w")}
+    assert out["t", "a"].covered == out["t", "a"].length == out["t", "a"].longest and out["t", "v"].covered == out["t", "v"].length - 1
+
+
 def test_hot_subject_is_cut(spark, monkeypatch):
     monkeypatch.setattr(overlap, "SHARD", 3)
     plain = "river tower area point mill lake hill road"
