@@ -6,6 +6,7 @@ import random
 from collections import Counter
 from fractions import Fraction
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -188,5 +189,19 @@ def test_residue(spark):
     assert residue.find_residue(frame.limit(0)).count() == 0
 
 
+def test_verdict_hangs_on_the_message_alone():
+    groups = [
+        ["x1 x1 error x1", "x1 x1 error 0"], ["x1 x1 x1 0 forbidden", "x1 x1 x1 x1 forbidden"], ["x1 x1 x1 typeerror x1", "x1 x1 x1 0 x1"],
+        ["x1 x1 x1 страница не наидена", "x1 x1 x1 страница не видна"], ["ab ab ab ab ab", "ab ab ab cd ef"], ["x1 x1 x1 0 not found", "x1 x1 x1 x1 not found"],
+    ]
+    for group in groups:
+        want = {m: residue.judge(m) for m in group}
+        assert len(set(want.values())) == 2
+        for given in (group, group[::-1]):
+            frame = pd.DataFrame({"leaf": [" ".join([str(len(m.split())), *m.split()[:3]]) for m in given], "message": given})
+            got = {m: k for out in residue.judged(iter([frame])) for m, k in zip(out.message, out.kind)}
+            assert got == {m: k for m, k in want.items() if k}
+
+
 def test_words():
     assert words("Ábc-dé's  x​y") == ["abc", "des", "xy"] and words(None) == [] and bare_words("<b>A</b>&amp;b") == ["a", "b"] and words("位于Rom附近") == ["位", "于", "rom", "附", "近"]
