@@ -62,12 +62,14 @@ def shortcut(catalog: GraphCatalog, program: M.Node, max_candidates: int = 1000,
     nodes: dict[int, M.Node] = {k: M.Entity(e) for k, e in enumerate(rewrite.topic_roots(program))}
     if not nodes:
         return False
+    roots = [n.entity_id for n in nodes.values()]  # constants reach the scans, what a join does not do
     level = catalog.spark.createDataFrame([(k, n.entity_id) for k, n in nodes.items()], "path int, entity_id string")
     seen: set[str] = set()
     while nodes and rewrite.cost(next(iter(nodes.values()))) + 1 < most:
         steps = []
         for near, far, direction in (("subject", "object", "out"), ("object", "subject", "in")):
-            rows = catalog.edges.join(level.withColumnRenamed("entity_id", near), near)
+            edges = catalog.edges.filter(F.col(near).isin(roots)) if roots else catalog.edges
+            rows = edges.join(level.withColumnRenamed("entity_id", near), near)
             steps.append(rows.select("path", F.lit(direction).alias("direction"), "relation", F.col(far).alias("entity_id")))
         grown = cut(steps[0].unionByName(steps[1]).distinct())
         found = digest(grown, ["path", "direction", "relation"]).orderBy("path", "direction", "relation").limit(max_candidates - tried + 1).collect()
@@ -88,7 +90,7 @@ def shortcut(catalog: GraphCatalog, program: M.Node, max_candidates: int = 1000,
             return False
         renamed = catalog.spark.createDataFrame([(*key, k) for key, k in kept.items()], "path int, direction string, relation string, next int")
         level = grown.join(F.broadcast(renamed), ["path", "direction", "relation"]).select(F.col("next").alias("path"), "entity_id")
-        nodes = following
+        nodes, roots = following, []
     return False
 
 

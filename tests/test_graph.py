@@ -176,6 +176,15 @@ def test_analytics(toy):
     assert report["reasons"] == ["ANSWER_LEAK"] and report["answers"] == [("entity", "bob")]
 
 
+def test_shortcut_search_sees_the_whole_graph(spark, tiny, monkeypatch):
+    from graphweft.queries import graph
+
+    seen, search_ = [], verify.shortcut
+    monkeypatch.setattr(verify, "shortcut", lambda c, p: seen.append(c) or search_(c, p))
+    assert [tuple(r) for r in graph.shortcut_search(spark, tiny).collect()] == [(True, "False")]
+    assert {r.relation for r in seen[0].edges.select("relation").distinct().collect()} == set("in_region lives_in located_in placed_by contains shipped_by supplies".split())
+
+
 def test_primitives(toy, spark):
     ids = spark.createDataFrame([("alice",), ("nobody",)], "entity_id string")
     assert {tuple(r) for r in primitives.neighbors(toy, ids, "out", ["friend"]).collect()} == {("alice", "friend", "bob")}
