@@ -45,12 +45,13 @@ def necessity(catalog: GraphCatalog, program: M.Node) -> DataFrame:
     return out.select("ablation", similarity.alias("similarity")).withColumn("necessity", 1 - F.col("similarity"))
 
 
-def shortcut(catalog: GraphCatalog, program: M.Node, max_candidates: int = 1000, frontier: int = 100) -> M.Node | None | bool:
+def shortcut(catalog: GraphCatalog, program: M.Node, max_candidates: int = 1000) -> M.Node | None | bool:
     """A cheaper chain of hops from one of the program's entities with the same answers; False if there is none, None if the
     search ended at its budget.
 
     Breadth first, a level at a time: all paths of a level are one DataFrame of (path, entity), compared with the answers by a
-    hash of each path's sorted set; of paths with equal sets only the first goes on.
+    hash of each path's sorted set; of paths with equal sets only the first goes on.  No path is dropped otherwise: the only
+    bound is ``max_candidates``.
     """
     gold = Compiler(catalog).answers(program).filter("kind = 'entity'").select(F.col("value").alias("entity_id"))
     digest = lambda df, by: df.groupBy(*by).agg(F.sha2(F.concat_ws("\x1f", F.array_sort(F.collect_set("entity_id"))), 256).alias("set"))
@@ -82,7 +83,7 @@ def shortcut(catalog: GraphCatalog, program: M.Node, max_candidates: int = 1000,
             node = M.Hop(nodes[r.path], r.relation, r.direction)
             if r.set == target:
                 return node
-            if r.set not in seen and len(following) < frontier:
+            if r.set not in seen:
                 seen.add(r.set)
                 kept[r.path, r.direction, r.relation] = len(following)
                 following[len(following)] = node

@@ -176,6 +176,16 @@ def test_analytics(toy):
     assert report["reasons"] == ["ANSWER_LEAK"] and report["answers"] == [("entity", "bob")]
 
 
+def test_no_path_of_a_shortcut_is_dropped(toy, spark):
+    from dataclasses import replace
+
+    edges = [("r", f"a{k:03}", f"e{k:03}") for k in range(150)] + [("e149", "z", "t"), ("r", "p", "u"), ("u", "q", "v"), ("v", "s", "t")]
+    graph = replace(toy, edges=spark.createDataFrame(edges, "subject string, relation string, object string"))
+    program = Hop(Hop(Hop(Entity("r"), "p"), "q"), "s")
+    assert verify.shortcut(graph, program) == Hop(Hop(Entity("r"), "a149"), "z")
+    assert verify.shortcut(graph, program, max_candidates=120) is None
+
+
 def test_shortcut_search_sees_the_whole_graph(spark, tiny, monkeypatch):
     from graphweft.queries import graph
 
