@@ -1,22 +1,19 @@
-"""New batches against everything accepted before, without reading the history again.
+"""New batches against everything accepted before, as read when it was accepted.
 
-The store holds, per accepted question, a fixed number of segments of its form by length and position.  Two forms within
-``EDITS`` edits share at least one of ``EDITS + 1`` segments, near its place; so a batch probes the store with selected
-substrings only, verifies what it meets, and what is accepted adds its own segments.
+The store holds what each accepted question is about and its words.  Questions that ask the same are about the same, so a
+batch meets the accepted questions of its subjects, in any order of words, and a comparison word by word decides; the segments
+of forms within ``EDITS`` edits, which admit fewer, are no part of it.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphweft.llm import questions
 from graphweft.session import fresh_path
 
 EDITS = 4
-PIECES = T.ArrayType(T.StructType().add("length", T.IntegerType()).add("number", T.IntegerType()).add("piece", T.StringType()))
 
 
 def segments(form: str) -> list[tuple[int, int, str]]:
@@ -57,21 +54,6 @@ def within(a: str, b: str, most: int = EDITS) -> bool:
     return row.get(len(b), most + 1) <= most
 
 
-@F.pandas_udf(PIECES)
-def _stored(form: pd.Series) -> pd.Series:
-    return form.map(lambda f: [{"length": len(f), "number": i, "piece": p} for i, _, p in segments(f)])
-
-
-@F.pandas_udf(PIECES)
-def _probed(form: pd.Series) -> pd.Series:
-    return form.map(lambda f: [{"length": n, "number": i, "piece": p} for n, i, p in probes(f)])
-
-
-@F.pandas_udf(T.BooleanType())
-def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([within(x, y) for x, y in zip(a, b)], dtype=bool)
-
-
 def digest(signature: Column) -> Column:
     """A digest without the ways of writing it; NULL for blank ones."""
     return F.nullif(F.regexp_replace(F.lower(F.trim(signature)), r"^[a-z0-9-]+:|[^0-9a-f]", ""), F.lit(""))
@@ -87,9 +69,8 @@ def read_tasks(tasks: DataFrame) -> DataFrame:
 
 
 class Store:
-    """The accepted tasks, as tables in the shared folder that only grow: ``tasks`` (task_id, batch_no, signature, folded,
-    subject, form, kept) and ``segments`` (subject, form, length, number, piece), one row per distinct form and piece and
-    batch."""
+    """The accepted tasks, as a table in the shared folder that only grows: ``tasks`` (task_id, batch_no, signature, folded,
+    subject, form, kept)."""
 
     def __init__(self, history: DataFrame):
         self.spark = history.sparkSession
@@ -103,9 +84,6 @@ class Store:
 
     def accept(self, tasks: DataFrame) -> None:
         tasks.write.mode("append").parquet(f"{self.path}/tasks")
-        forms = tasks.filter("form is not null").select("subject", "form").distinct()
-        pieces = forms.select("subject", "form", F.explode(_stored("form")).alias("s")).select("subject", "form", "s.*")
-        pieces.write.mode("append").parquet(f"{self.path}/segments")
 
     def tasks(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/tasks")
@@ -115,18 +93,13 @@ class Store:
         old = self.tasks()
         # Both sides of every join here grow, so none is broadcast: the hints keep them off the driver.
         by_digest = batch.filter("signature is not null").select(F.col("task_id").alias("task"), "signature").join(old.select(F.col("task_id").alias("accepted"), "signature").hint("merge"), "signature").select("task", "accepted")
-        stored = self.spark.read.parquet(f"{self.path}/segments").select("subject", F.col("form").alias("old_form"), "length", "number", "piece").hint("merge")
-        forms = batch.filter("form is not null").select("subject", "form").distinct()
-        probed = forms.select("subject", "form", F.explode(_probed("form")).alias("p")).select("subject", "form", "p.*")
-        met = probed.join(stored, ["subject", "length", "number", "piece"]).select("subject", "form", "old_form").distinct().filter(_near("form", "old_form"))
         same = questions.sameness(self.vocabulary)
-        texts = ["subject", "form", "kept"]
-        new_kept, old_kept = (df.filter("form is not null").select(*texts).distinct() for df in (batch, old))
-        pairs = met.join(new_kept.hint("merge"), ["subject", "form"]).join(old_kept.select("subject", F.col("form").alias("old_form"), F.col("kept").alias("old_kept")).hint("merge"), ["subject", "old_form"])
-        pairs = pairs.filter(same("kept", "old_kept"))
+        texts = ["subject", "kept"]
+        new_kept, old_kept = (df.filter("kept is not null").select(*texts).distinct() for df in (batch, old))
+        pairs = new_kept.join(old_kept.withColumnRenamed("kept", "old_kept").hint("merge"), "subject").filter(same("kept", "old_kept"))
         by_question = (
             pairs.join(batch.select(F.col("task_id").alias("task"), *texts).hint("merge"), texts)
-            .join(old.select(F.col("task_id").alias("accepted"), "subject", F.col("form").alias("old_form"), F.col("kept").alias("old_kept")).hint("merge"), ["subject", "old_form", "old_kept"])
+            .join(old.select(F.col("task_id").alias("accepted"), "subject", F.col("kept").alias("old_kept")).hint("merge"), ["subject", "old_kept"])
             .select("task", "accepted")
         )
         return by_digest.unionByName(by_question).distinct()

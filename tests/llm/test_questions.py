@@ -154,6 +154,14 @@ def test_history(spark):
     assert history.check_batches(given.limit(0))[1].count() == 0
 
 
+def test_history_finds_what_the_word_comparison_accepts(spark):
+    said = {"x": Q.replace("official ", ""), "y": "Which is the northern mill, official supplier of Tytema Kibykal, and had in 1475 recorded its population?", "z": OTHER[2]}
+    asked = {f"h{i}": f"Which northern mill is the official supplier of Abcdu Efghi{i} and had its population recorded in 15{i:02}?" for i in range(10)} | {"a": Q}
+    rows = [(i, None, json.dumps({"question": q}), b) for b, qs in enumerate((asked, said)) for i, q in qs.items()]
+    pairs = history.check_batches(spark.createDataFrame(rows, "task_id string, signature string, payload string, batch_no int"))[1]
+    assert {tuple(r) for r in pairs.collect()} == {("x", "a"), ("y", "a")}
+
+
 def test_no_link_is_lost_against_brute_force(spark, tiny):
     from graphweft.llm.queries import p7_found
     from graphweft.session import table
