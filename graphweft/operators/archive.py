@@ -14,12 +14,13 @@ def grams(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def similarities(new: DataFrame, old: DataFrame) -> DataFrame:
-    """id, other, similarity: Jaccard of gram sets for all pairs that share a gram, by an inverted index join.
+    """id, other, similarity: Jaccard of gram sets for all pairs that share a gram, by an inverted index join; a text is not
+    held against itself.
 
     ``new`` has id, gram; ``old`` other, gram; each gram once per id.
     """
     sizes = lambda df, k: df.groupBy(k).agg(F.count("*").alias(f"_{k}"))
-    shared = new.join(old, "gram").groupBy("id", "other").agg(F.count("*").alias("both"))
+    shared = new.join(old, "gram").filter("id <> other").groupBy("id", "other").agg(F.count("*").alias("both"))
     out = shared.join(sizes(new, "id"), "id").join(sizes(old, "other"), "other")
     return out.select("id", "other", (F.col("both") / (F.col("_id") + F.col("_other") - F.col("both"))).alias("similarity"))
 

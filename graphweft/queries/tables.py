@@ -56,7 +56,7 @@ def trigram_novelty(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "benchmark_examples", "example_id", "question").filter("question is not null").distinct()
     grams = archive.grams(rows, "example_id", "question").withColumnRenamed("example_id", "id")
     mine = F.substring("id", 7, 100).cast("int") % 100 == 0
-    out = archive.novelty(grams.filter(mine), grams.filter(~mine).select(F.col("id").alias("other"), "gram"))
+    out = archive.novelty(grams.filter(mine), grams.select(F.col("id").alias("other"), "gram"))
     return out.select("id", F.round("novelty", 6).alias("novelty"))
 
 

@@ -176,6 +176,14 @@ def test_analytics(toy):
     assert report["reasons"] == ["ANSWER_LEAK"] and report["answers"] == [("entity", "bob")]
 
 
+def test_novelty_counts_the_query_set(spark, tmp_path):
+    from graphweft.queries import tables
+
+    rows = [("exampl100", "a b c d e"), ("exampl200", "a b c d e"), ("exampl201", "a b c x y")]
+    spark.createDataFrame(rows, "example_id string, question string").write.parquet(str(tmp_path / "benchmark_examples.parquet"))
+    assert {r.id[6:]: r.novelty for r in tables.trigram_novelty(spark, str(tmp_path)).collect()} == {"100": 0.0, "200": 0.0}
+
+
 def test_no_path_of_a_shortcut_is_dropped(toy, spark):
     from dataclasses import replace
 
