@@ -81,12 +81,13 @@ def evidence(catalog: GraphCatalog, program: M.Node) -> DataFrame:
             rows = _as_triples(c._within(own, "entity_id", node.input))
         elif isinstance(node, M.FilterType):
             rows = c.entities(node).select(F.col("entity_id").alias("subject"), F.lit("type").alias("relation"), F.lit(node.type_id).alias("object"))
-        elif isinstance(node, (M.QueryAttribute, M.SelectAmong)):
+        elif isinstance(node, (M.QueryAttribute, M.QueryAttributeUnderCondition, M.QueryAttributeQualifier, M.SelectAmong)):
             rows = _as_triples(c._within(catalog.attributes.filter(F.col("key") == node.attribute), "entity_id", node.input))
         elif isinstance(node, M.SelectBetween):
             rows = _as_triples(c._within(catalog.attributes.filter(F.col("key") == node.attribute), "entity_id", M.Union((node.left, node.right))))
-        elif isinstance(node, M.QueryRelation):
-            rows = c._within(c._within(catalog.edges, "subject", node.subject), "object", node.object).select(*ORDER)
+        elif isinstance(node, (M.QueryRelation, M.QueryRelationQualifier)):
+            edges = catalog.edges.filter(F.col("relation") == node.relation) if isinstance(node, M.QueryRelationQualifier) else catalog.edges
+            rows = c._within(c._within(edges, "subject", node.subject), "object", node.object).select(*ORDER)
         else:
             return
         out = out.unionByName(rows)

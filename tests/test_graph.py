@@ -176,6 +176,14 @@ def test_analytics(toy):
     assert report["reasons"] == ["ANSWER_LEAK"] and report["answers"] == [("entity", "bob")]
 
 
+def test_evidence_of_qualifier_queries(toy):
+    facts = lambda p: {tuple(r) for r in primitives.evidence(toy, p).collect()}
+    age = {("alice", "age", "34")}
+    assert facts(M.QueryAttributeUnderCondition(Entity("alice"), "age", "since", Literal(1))) == age
+    assert facts(M.QueryAttributeQualifier(Entity("alice"), "age", Literal(34), "since")) == age
+    assert facts(M.QueryRelationQualifier(Entity("alice"), Entity("bob"), "friend", "since")) == {("alice", "friend", "bob")}
+
+
 def test_novelty_counts_the_query_set(spark, tmp_path):
     from graphweft.queries import tables
 
