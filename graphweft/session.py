@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _shipped: set[str] = set()
+_made: list[str] = []
+_tables: list[str] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -33,10 +35,13 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share.  A local one is set only where the session names none, as in tests."""
+    """The folder all executors share.  A local one is set only where the session names none and runs on one machine, as in
+    tests; a cluster without a shared folder is refused."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='graphweft-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     if not context._jsc.sc().getCheckpointDir().isDefined():
@@ -52,8 +57,25 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark).rstrip('/')}/graphweft/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; ``clean`` deletes it."""
+    path = f"{shared_folder(spark).rstrip('/')}/graphweft/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def keep(spark: SparkSession, name: str) -> None:
+    """Remembers a table for ``clean``."""
+    _tables.append(name)
+
+
+def clean(spark: SparkSession) -> None:
+    """Drops the tables and deletes the files that operators of this session made, once their results are no longer needed."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+    jvm = spark.sparkContext._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
