@@ -20,22 +20,36 @@ from graphweft.llm.sample import random_key
 BUCKET = 50_000
 
 
+def apportioned(total: int, weights: dict[str, Fraction]) -> dict[str, int]:
+    """``total`` slots in ratio of the weights: whole shares first, the rest to the largest remainders (then by name)."""
+    whole = sum(weights.values())
+    exact = {s: w * total / whole for s, w in weights.items()}
+    out = {s: int(x) for s, x in exact.items()}
+    for s in sorted(weights, key=lambda s: (out[s] - exact[s], s))[: total - sum(out.values())]:
+        out[s] += 1
+    return out
+
+
 def quotas(sizes: dict[str, int], weights: dict[str, Fraction], repeats: int) -> dict[str, int]:
-    """Slots per source: the largest whole number of groups in ratio of the weights such that no row is used more than
-    ``repeats`` times and the mixture is not larger than all distinct rows together.  Where not even one group fits, sources
-    with rows get what they can give of one group."""
+    """Slots per source: the largest mixture, in ratio of the weights to within one slot, that uses no row more than
+    ``repeats`` times and is not larger than all distinct rows together.
+
+    A weighted source without rows cannot have its share of anything: the others then get what they can give of one group, the
+    least whole numbers in ratio of the weights.
+    """
     active = {s: w for s, w in weights.items() if w > 0}
     if not active:
         return {}
-    scale = math.lcm(*(w.denominator for w in active.values()))
-    whole = {s: int(w * scale) for s, w in active.items()}
-    least = math.gcd(*whole.values())
-    whole = {s: w // least for s, w in whole.items()}
-    total = sum(sizes.get(s, 0) for s in whole)
-    groups = min([total // sum(whole.values()), *(sizes.get(s, 0) * repeats // w for s, w in whole.items())])
-    if groups:
-        return {s: w * groups for s, w in whole.items()}
-    return {s: min(w, sizes.get(s, 0) * repeats) for s, w in whole.items()}
+    if not all(sizes.get(s, 0) for s in active):
+        scale = math.lcm(*(w.denominator for w in active.values()))
+        group = {s: int(w * scale) for s, w in active.items()}
+        least = math.gcd(*group.values())
+        return {s: min(n // least, sizes.get(s, 0) * repeats) for s, n in group.items()}
+    share = {s: w / sum(active.values()) for s, w in active.items()}
+    total = min([sum(sizes[s] for s in active), *(int((sizes[s] * repeats + 1) / w) for s, w in share.items())])
+    while any(n > sizes[s] * repeats for s, n in apportioned(total, share).items()):
+        total -= 1  # a few times at most: a quota is less than one slot above its exact share
+    return apportioned(total, share)
 
 
 def ranked(rows: DataFrame, source: str, row: str, seed: int, counts: dict[str, int]) -> DataFrame:
@@ -58,7 +72,7 @@ def mix(rows: DataFrame, source: str, row: str, weights: dict[str, Fraction], re
 
     ``source`` is read trimmed and in lower case; rows of no weighted source, or with a NULL row id, are left out; a row
     delivered several times is one row (of its least source).  A source without rows stops the mixture at what one group of the
-    others allows (see ``quotas``), which the report shows.
+    others allows (see ``quotas``), which the report shows.  The shares are shares of rows, so blocks of equal size are single rows.
     """
     spark = rows.sparkSession
     name = F.lower(F.trim(F.col(source)))

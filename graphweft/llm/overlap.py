@@ -1,9 +1,9 @@
 """Questions of evaluation splits that occur in the training split.
 
-Evaluation questions are cut into shards; each shard gets a full-text index (suffix order, Burrows-Wheeler transform, rank
-lists).  Training questions are streamed through the index by backward search, which yields the maximal matches with every
-evaluation question of the subject; a comparison word by word decides, and spans on one evaluation question are merged and
-counted.
+Evaluation questions are cut into shards; each shard gets a full-text index over plain words (suffix order, Burrows-Wheeler
+transform, rank lists).  Training questions are streamed through the index by backward search, a whole batch in step, which
+yields the maximal matches with every evaluation question by itself.  Matches on one evaluation question are merged and
+counted; where they cover all names and numbers of both questions, a comparison word by word decides.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from graphweft.llm import questions
 from graphweft.session import cut
 
-#: Distinct questions of either side in one shard, on average; a subject with more is cut into several.
-SHARD = 4000
+#: Distinct questions of either side in one shard, on average; a shard with more is cut into several.
+SHARD = 20_000
 
 
 class FullTextIndex:
@@ -36,6 +36,7 @@ class FullTextIndex:
         self.first = bounds  # symbols smaller than each one
         self.ranks = order  # rows of each symbol in the transform, in order
         self.length = len(flat)
+        self.keys = last[order] * (self.length + 1) + order  # ascending: where (symbol, row) stands is the row one step on
 
     def _step(self, symbol: int, low: int, high: int) -> tuple[int, int]:
         begin, end = self.first[symbol + 1], self.first[symbol + 2]
@@ -74,6 +75,36 @@ class FullTextIndex:
                         yield begin, end, places
                 low, high, begin = a, b, begin - 1
 
+    def steps(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One step to the left of many searches at once."""
+        base = (symbols + 1) * (self.length + 1)
+        return np.searchsorted(self.keys, base + low), np.searchsorted(self.keys, base + high)
+
+    def telling(self, patterns: list[list[int]], tells: list[list[bool]]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """The matches of ``maximal_each`` that hold a telling symbol, for many patterns at once: pattern, begin, end, places.
+        Matches of other symbols alone, which may be in any text, are never located."""
+        starts = np.cumsum([0, *map(len, patterns)])
+        flat = np.fromiter((s for p in patterns for s in p), dtype=np.int64, count=starts[-1])
+        told = np.cumsum([0, *(t for own in tells for t in own)])
+        which = np.repeat(np.arange(len(patterns)), np.diff(starts))
+        end = np.arange(1, len(flat) + 1)
+        begin, low, high = end.copy(), np.zeros(len(flat), dtype=np.int64), np.full(len(flat), self.length, dtype=np.int64)
+        while len(end):
+            first = starts[which]
+            symbol = np.where(begin > first, flat[np.maximum(begin - 1, 0)], -1)
+            a, b = self.steps(np.maximum(symbol, 0), low, high)
+            a, b = np.where(symbol >= 0, a, 0), np.where(symbol >= 0, b, 0)
+            for k in np.flatnonzero((b - a < high - low) & (told[end] > told[begin])):
+                stays = np.ones(high[k] - low[k], dtype=bool)
+                stays[self.ranks[a[k] : b[k]] - low[k]] = False  # these are longer on the left
+                places = self.suffixes[low[k] : high[k]][stays]
+                if end[k] < starts[which[k] + 1] and flat[end[k]] >= 0:
+                    places = places[self.flat[places + end[k] - begin[k]] != flat[end[k]] + 1]
+                if len(places):
+                    yield int(which[k]), int(begin[k] - first[k]), int(end[k] - first[k]), places
+            on = a < b
+            which, end, begin, low, high = which[on], end[on], begin[on] - 1, a[on], b[on]
+
     def located(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Text and offset of places in the flat text."""
         text = np.searchsorted(self.starts, places, side="right") - 1
@@ -94,31 +125,43 @@ def _suffix_order(flat: np.ndarray) -> np.ndarray:
         rank, width = new, width * 2
 
 
-def matches(train: pd.DataFrame, held: pd.DataFrame, same: Callable[[str, str], bool]) -> pd.DataFrame:
-    """Maximal matches of one shard, merged: a row per training and evaluation question of one subject that ``same`` accepts.
+def names_of(subject: str) -> list[str]:
+    """The words a question is about; a question about nothing is told by all of its words."""
+    return [w for w in subject.split(" ") if w and w != "|"]
 
-    A symbol is a word together with the question's subject, so that questions about different things share none; the
-    subject alone is the first symbol.  It is shared by all questions of the subject, so each of them is compared.
-    """
-    ids: dict[tuple[str, str], int] = {}
-    texts = [[ids.setdefault((s, w), len(ids)) for w in ("", *f.split(" "))] for s, f in zip(held.subject, held.form)]
+
+def spans(a: list[str], b: list[str]) -> tuple[int, int]:
+    """Words of ``b`` within matches with ``a`` that nothing prolongs, and the longest of them."""
+    covered: set[int] = set()
+    longest = 0
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                n = next(n for n in range(1, len(a) + 1) if i + n >= len(a) or j + n >= len(b) or a[i + n] != b[j + n])
+                covered.update(range(j, j + n))
+                longest = max(longest, n)
+    return len(covered), longest
+
+
+def matches(train: pd.DataFrame, held: pd.DataFrame, same: Callable[[str, str], bool]) -> pd.DataFrame:
+    """Pairs of one shard that ask the same, found by the index: a row per training and evaluation question."""
+    ids: dict[str, int] = {}
+    lines = [x.split(" ") for x in held.line]
+    texts = [[ids.setdefault(w, len(ids)) for w in line] for line in lines]
+    asked = [x.split(" ") for x in train.line]
+    about = [set(names_of(s)) for s in train.subject]
     out: list[tuple[str, str, int, int, int]] = []
-    if texts and len(train):
+    if texts and asked:
         index = FullTextIndex(texts, len(ids))
-        for t_text, subject, form, kept in zip(train.folded, train.subject, train.form, train.kept):
-            alike: dict[int, bool] = {}
-            spans: dict[int, set[int]] = {}
-            longest: dict[int, int] = {}
-            for begin, end, places in index.maximal_each([ids.get((subject, w), -1) for w in ("", *form.split(" "))]):
-                for text, offset in zip(*index.located(places)):
-                    if int(text) not in alike:
-                        alike[int(text)] = same(kept, held.kept[text])
-                    if not alike[int(text)]:
-                        continue
-                    spans.setdefault(int(text), set()).update(range(int(offset), int(offset) + end - begin))
-                    longest[int(text)] = max(longest.get(int(text), 0), end - begin)
-            for text, covered in spans.items():
-                out.append((t_text, held.folded[text], len(covered), longest[text], len(texts[text])))
+        patterns = [[ids.get(w, -1) for w in line] for line in asked]
+        found: dict[tuple[int, int], set[int]] = {}
+        for k, begin, end, places in index.telling(patterns, [[w in own or not own for w in line] for line, own in zip(asked, about)]):
+            for text in set(index.located(places)[0].tolist()):
+                found.setdefault((k, text), set()).update(range(begin, end))
+        for (k, text), covered in found.items():
+            # The merged matches must hold every name and number; what else differs is for the comparison.
+            if about[k] <= {asked[k][i] for i in covered} and train.subject[k] == held.subject[text] and same(train.kept[k], held.kept[text]):
+                out.append((train.folded[k], held.folded[text], *spans(asked[k], lines[text]), len(lines[text])))
     return pd.DataFrame(out, columns=["train", "held", "covered", "longest", "length"])
 
 
@@ -126,24 +169,29 @@ def text_pairs(train: DataFrame, held: DataFrame, vocabulary: dict[str, int]) ->
     """Pairs of distinct folded questions that ask the same: ``train``, ``held``, ``covered`` (words of the evaluation
     question within merged matches), ``longest``, ``length``.
 
-    A shard holds whole subjects; a subject with more than ``SHARD`` questions on a side is cut into pieces, and every piece
-    of one side meets every piece of the other.
+    A question goes to the shard of its anchor, the one of its names and numbers with the least hash, so that each training
+    question is streamed through one index; no name is in more than ``questions.FREQUENT`` of the questions.  A shard with more
+    than ``SHARD`` questions on a side (those about nothing, or a small vocabulary) is cut into pieces, and every piece of one
+    side meets every piece of the other.
     """
     read = questions.reading(vocabulary)
 
     def side(df: DataFrame, name: str) -> DataFrame:
         out = df.select("folded").distinct().withColumn("_r", read("folded"))
-        return cut(out.select("folded", "_r.subject", "_r.form", "_r.kept"))
+        about = F.filter(F.split("_r.subject", " "), lambda w: (w != "") & (w != "|"))
+        anchor = F.array_min(F.transform(about, lambda w: F.xxhash64(w)))
+        return cut(out.select("folded", "_r.subject", "_r.line", "_r.kept", F.coalesce(anchor, F.lit(0)).alias("anchor")))
 
     train, held = side(train, "train"), side(held, "held")
     shards = max(1, -(-(train.count() + held.count()) // SHARD))
-    subjects = train.groupBy("subject").agg(F.count("*").alias("_n")).join(held.groupBy("subject").agg(F.count("*").alias("_m")), "subject")
-    pieces = subjects.select("subject", F.ceil(F.col("_n") / SHARD).cast("int").alias("_tp"), F.ceil(F.col("_m") / SHARD).cast("int").alias("_hp"), F.pmod(F.hash("subject"), F.lit(shards)).alias("shard"))
+    shard = F.pmod("anchor", F.lit(shards)).cast("int").alias("shard")
+    sizes = lambda df, n: df.groupBy(shard).agg(F.ceil(F.count("*") / SHARD).cast("int").alias(n))
+    pieces = sizes(train, "_tp").join(sizes(held, "_hp"), "shard")
     own = lambda p: F.pmod(F.hash("folded"), F.col(p))
     every = lambda p: F.explode(F.sequence(F.lit(0), F.col(p) - 1))
-    t = train.join(pieces, "subject").withColumn("tp", own("_tp")).withColumn("hp", every("_hp"))
-    h = held.join(pieces, "subject").withColumn("hp", own("_hp")).withColumn("tp", every("_tp"))
-    columns = ["shard", "tp", "hp", "folded", "subject", "form", "kept"]
+    columns = ["shard", "tp", "hp", "folded", "subject", "line", "kept"]
+    t = train.withColumn("shard", shard).join(pieces, "shard").withColumn("tp", own("_tp")).withColumn("hp", every("_hp"))
+    h = held.withColumn("shard", shard).join(pieces, "shard").withColumn("hp", own("_hp")).withColumn("tp", every("_tp"))
     t, h = (df.select(*columns).toDF(*columns) for df in (t, h))
     keys = ["shard", "tp", "hp"]
     made: list[questions.Reader] = []

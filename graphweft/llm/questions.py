@@ -112,23 +112,36 @@ class Reader:
     def read(self, text: str) -> tuple[str, str, str]:
         """Subject (names in order, then sorted numbers), form (likeliest known words in order), and the words kept for
         comparison, each joined by blanks."""
-        names, numbers, form, kept = [], [], [], []
+        return self.read_whole(text)[:3]
+
+    def read_whole(self, text: str) -> tuple[str, str, str, str, int]:
+        """As ``read``, then the line: names, numbers and the known words meant, in order; and how many words may be slips of
+        several, which the line leaves out.  Lines of questions that ask the same have the same subject words and differ by at
+        most ``LEFT_OVER`` other words and one for each such word."""
+        names, numbers, form, kept, line, doubts = [], [], [], [], [], 0
         for w in AFTER.sub("", BEFORE.sub("", text)).split(" "):
             if not w or w in COURTESY or w in FUNCTION:
                 continue
             if any(c.isdigit() for c in w):
                 numbers.append(w)
+                line.append(w)
                 continue
             meant = self.meant(w)
             if not meant:
                 names.append(w)
+                line.append(w)
                 continue
             likely = max(meant, key=lambda m: (self.counts.get(m, 0), m))
             if w not in self.known and all(m in COURTESY or m in FUNCTION for m in meant):
                 continue
             kept.append(LIKE.get(w, w))
             form.append(LIKE.get(likely, likely))
-        return " ".join([*names, "|", *sorted(numbers)]), " ".join(form), " ".join(kept)
+            meanings = {LIKE.get(m, m) for m in meant}
+            if len(meanings) == 1:
+                line.extend(meanings)
+            else:
+                doubts += 1
+        return " ".join([*names, "|", *sorted(numbers)]), " ".join(form), " ".join(kept), " ".join(line), doubts
 
     def same(self, a: str, b: str) -> bool:
         """Whether two questions of one subject ask the same, given the words kept for comparison."""
@@ -148,14 +161,15 @@ class Reader:
 
 
 def reading(vocabulary_: Mapping[str, int]) -> Callable[[Column], Column]:
-    """A column function: folded words joined by blanks to a struct of ``subject``, ``form`` and ``kept``."""
+    """A column function: folded words joined by blanks to a struct of ``subject``, ``kept``, ``line`` and ``doubts``."""
     made: list[Reader] = []
 
-    @F.pandas_udf("subject string, form string, kept string")
+    @F.pandas_udf("subject string, kept string, line string, doubts int")
     def read(text: pd.Series) -> pd.DataFrame:
         if not made:
             made.append(Reader(vocabulary_))
-        return pd.DataFrame([made[0].read(t or "") for t in text], columns=["subject", "form", "kept"])
+        rows = [made[0].read_whole(t or "") for t in text]
+        return pd.DataFrame([(r[0], r[2], r[3], r[4]) for r in rows], columns=["subject", "kept", "line", "doubts"])
 
     return read
 
