@@ -153,9 +153,16 @@ HELD_OUT = [
 def test_wordings_no_rule_knows(spark):
     content = [f"The {a} of {b} Kalun was rebuilt in 1{k}01, and its {c} still holds {k} sheets about wool." for k, (a, b, c) in enumerate((a, b, c) for a in "mill tower school".split() for b in "Zebor Marit Sobel".split() for c in "well hall".split())]
     content += ["He could not turn the mill wheel on that day.", "The keeper must support the old wall of the page house.", "No one has denied the access of Marit Kalun to the tower."]
-    frame = spark.createDataFrame([*((k, t) for k, t in enumerate(HELD_OUT)), *((100 + k, t) for k, t in enumerate(content))], "doc_id long, text string")
-    assert not any(residue.judge(residue.masked(m)) for t in ("Access to this page has been denied.", "Error establishing a database connection") for m, _ in residue.messages(t))
-    assert {r.doc_id for r in residue.find_residue(frame).collect()} == set(range(len(HELD_OUT)))
+    known, classifier = residue.fit(spark.createDataFrame(list(enumerate(content)), "doc_id long, text string"))
+
+    def told(text: str) -> bool:
+        found = list(residue.messages(text))
+        forms = sorted({residue.form(m, known) for m, _ in found})
+        out = residue.judged([pd.DataFrame({"leaf": [residue.leaf_of(f)], "message": [f]}) for f in forms], classifier)
+        return any(s for _, s in found) or any(len(frame) for frame in out)
+
+    assert [t for t in HELD_OUT if not told(t)] == [] and [t for t in content if told(t)] == []
+    assert sum(not residue.judge(residue.masked(m)) for t in HELD_OUT for m, s in residue.messages(t) if not s) >= 5
 
 
 def test_a_template_carries_its_verdict_to_messages_the_classifier_does_not_know():
