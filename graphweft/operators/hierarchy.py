@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphweft.session import cut
 
 MAX_ROUNDS = 40
+TRIMS = 6
 
 
 def links(nodes: DataFrame, node: str = "node_id", parents: str = "instanceof") -> DataFrame:
@@ -52,12 +53,32 @@ def inner_closure(core: DataFrame) -> DataFrame:
     raise RuntimeError("the hierarchy is deeper than any table can hold")
 
 
+def trimmed(edges: DataFrame) -> DataFrame:
+    """``child``, ``parent`` without links that cannot be part of a loop: nodes without parents or without children go, round by
+    round, until none is left to go or ``TRIMS`` rounds are over.  What is left holds every loop; of shallow hierarchies
+    nothing else is left."""
+    known = None
+    for _ in range(TRIMS):
+        having = edges.select(F.col("child").alias("parent")).distinct()
+        edges = edges.join(having, "parent", "left_semi").select("child", "parent")
+        having = edges.select(F.col("parent").alias("child")).distinct()
+        edges = cut(edges.join(having, "child", "left_semi").select("child", "parent"))
+        before, known = known, edges.count()
+        if known in (0, before):
+            break
+    return edges
+
+
 def on_loops(edges: DataFrame) -> DataFrame:
-    """``node_id`` of nodes on a closed loop, self links included; nodes that only lead into one are not."""
-    inner = edges.select(F.col("parent").alias("child")).distinct()
-    core = edges.join(inner, "child", "left_semi")
-    core = core.join(core.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent")
-    return inner_closure(core).filter(F.col("node_id") == F.col("ancestor")).select("node_id").distinct()
+    """``node_id`` of nodes on a closed loop, self links included; nodes that only lead into one are not.
+
+    What trimming leaves is closed by pointer doubling; paths between loops are told from loops by nodes that reach
+    themselves.
+    """
+    left = trimmed(edges)
+    if left.isEmpty():
+        return left.select(F.col("child").alias("node_id"))
+    return inner_closure(left).filter(F.col("node_id") == F.col("ancestor")).select("node_id").distinct()
 
 
 def paths(nodes: DataFrame, edges: DataFrame, node: str = "node_id") -> DataFrame:

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweft.session import cut
+
 # Per unit its dimension, factor and offset to the dimension's base (base = number * factor + offset),
 # and its spellings in lower case with plain digits.
 UNITS: dict[str, tuple[str, float, float, str]] = {
@@ -166,6 +168,7 @@ def convert(rows: DataFrame, common_units: DataFrame) -> DataFrame:
     out = out.withColumn("_from", origin)
     own = aliases.withColumnRenamed("dimension", "_d")
     out = out.join(F.broadcast(own), (F.col("dimension") == F.col("_d")) & (F.col("_alias") == F.col("alias")), "left").withColumnsRenamed({"unit": "_unit", "factor": "_factor", "offset": "_offset"})
+    out = cut(out)  # what is read from the texts is written once: habits and rows below both start from it
     simple = F.col("_unit").isNotNull() & ~F.col("_unit").isin("hour and minute", "foot and inch")
     habit = out.filter(simple).groupBy(F.col("_source").alias("_hsource"), F.col("_key").alias("_hkey"), "_unit", "_factor", "_offset").count()
     habit = habit.groupBy("_hsource", "_hkey").agg(F.max(F.struct("count", F.col("_unit").alias("u"), F.col("_factor").alias("f"), F.col("_offset").alias("o"))).alias("_h"))
@@ -203,6 +206,7 @@ def agreeing_pairs(converted: DataFrame) -> DataFrame:
         "row_id", "entity_id", plain_key(F.col("key")).alias("key"), "unit", v.alias("value"), F.signum(v).cast("int").alias("sign"),
         F.when(v == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs(v)) / width)).alias("cell"),
     )
+    rows = cut(rows)  # both sides of the join start from it
     left = rows.select("entity_id", "key", "sign", "cell", F.col("row_id").alias("a"), F.col("unit").alias("ua"), F.col("value").alias("va"))
     right = rows.select("entity_id", "key", "sign", F.explode(F.array(*(F.col("cell") + i for i in (-1, 0, 1)))).alias("cell"), F.col("row_id").alias("b"), F.col("unit").alias("ub"), F.col("value").alias("vb"))
     met = left.join(right, ["entity_id", "key", "sign", "cell"]).filter((F.col("a") < F.col("b")) & (F.col("ua") != F.col("ub")) & alike(F.col("va"), F.col("vb")))

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.operators import units
-from graphweft.session import cut, fresh_path, partitions
+from graphweft.session import cut, fresh_path, keep, partitions
 
 FAN_IN = 6
-#: A wide table has a column per attribute; more than this is refused, not cut.
+#: A wide table has a column per attribute; more than this are put into several wide tables (see ``widen_all``).
 MAX_ATTRIBUTES = 2000
+#: Names of columns in between: no attribute has it, as keys are trimmed.
+MARK = " conflicts"
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
@@ -104,48 +106,72 @@ def widen(rows: DataFrame, common_units: DataFrame) -> DataFrame:
     entity's rows disagree (sorted; empty if none).
 
     Columns: quantities and numbers DOUBLE (quantities in the common unit), years INT, dates DATE, all else STRING; named
-    after the attribute, with "_" appended where that is ``entity_id`` or ``conflicts``.  NULL where the entity states
-    nothing for the attribute.  Entities that state nothing at all have no row.  No attribute at all gives just
-    ``entity_id`` and ``conflicts``.
+    after the attribute, with as many "_" appended as it takes where that is ``entity_id`` or ``conflicts``.  NULL where the
+    entity states nothing for the attribute.  Entities that state nothing at all have no row.  No attribute at all gives just
+    ``entity_id`` and ``conflicts``.  More than ``MAX_ATTRIBUTES`` attributes do not fit one table: ``widen_all`` takes them.
     """
+    tables = widen_all(rows, common_units)
+    if len(tables) > 1:
+        raise ValueError(f"more than {MAX_ATTRIBUTES} attributes: widen_all gives several tables")
+    return tables[0]
+
+
+def widen_all(rows: DataFrame, common_units: DataFrame) -> list[DataFrame]:
+    """As ``widen``, for any number of attributes: tables of ``MAX_ATTRIBUTES`` columns each, in order of the attributes' names,
+    all with the same entities and bucketed alike, so that any of them join without a shuffle."""
     spark = rows.sparkSession
     rows = cut(units.distinct_rows(rows))
-    types = [(r.attribute, r.type) for r in prevailing_types(rows).orderBy("attribute").limit(MAX_ATTRIBUTES + 1).collect()]
-    if len(types) > MAX_ATTRIBUTES:
-        raise ValueError(f"more than {MAX_ATTRIBUTES} attributes: no table is that wide")
+    types = [(r.attribute, r.type) for r in prevailing_types(rows).orderBy("attribute").collect()]  # one row per attribute
     known = spark.createDataFrame([(a, t, i) for i, (a, t) in enumerate(types)], "attribute string, type string, part int")
     found = cells(rows, common_units, known.select("attribute", "type")).join(F.broadcast(known.select("attribute", "part")), "attribute")
     n = partitions(spark)
     narrow = _bucketed(found.select("part", "entity_id", "number", "day", "text", "conflict"), n, "part")
     spine = _bucketed(narrow.select("entity_id").distinct(), n)
-    level = []
-    for start in range(0, len(types), FAN_IN):
-        level.append(_joined(spine, [_narrow(narrow, i, *types[i]) for i in range(start, min(start + FAN_IN, len(types)))]))
-    while len(level) > 1:
-        level = [_bucketed(x, n) for x in level]
-        level = [_joined(level[i], level[i + 1 : i + FAN_IN]) for i in range(0, len(level), FAN_IN)]
-    wide = level[0] if level else spine.withColumn("conflicts", F.array().cast("array<string>"))
-    return wide.withColumn("conflicts", F.sort_array("conflicts"))
-
-
-def _narrow(cells_: DataFrame, part: int, attribute: str, kind: str) -> DataFrame:
+    names = _names([a for a, _ in types])
+    out = []
+    for first in range(0, max(1, len(types)), MAX_ATTRIBUTES):
+        last = min(first + MAX_ATTRIBUTES, len(types))
+        level = []
+        for start in range(first, last, FAN_IN):
+            level.append(_joined(spine, [_narrow(narrow, i, *types[i], names[types[i][0]]) for i in range(start, min(start + FAN_IN, last))]))
+        while len(level) > 1:
+            level = [_bucketed(x, n) for x in level]
+            level = [_joined(level[i], level[i + 1 : i + FAN_IN]) for i in range(0, len(level), FAN_IN)]
+        wide = level[0] if level else spine.withColumn("conflicts", F.array().cast("array<string>"))
+        out.append(wide.withColumn("conflicts", F.sort_array("conflicts")))
+    return out
+
+
+def _names(attributes: list[str]) -> dict[str, str]:
+    """A column name for each attribute, distinct from each other and from the table's own."""
+    taken = {"entity_id", "conflicts", *attributes} - {a for a in attributes if a not in ("entity_id", "conflicts")}
+    names = {a: a for a in attributes if a not in ("entity_id", "conflicts")}
+    for a in ("entity_id", "conflicts"):
+        if a in attributes:
+            name = a + "_"
+            while name in taken or name in names.values():
+                name += "_"
+            names[a] = name
+    return names
+
+
+def _narrow(cells_: DataFrame, part: int, attribute: str, kind: str, name: str) -> DataFrame:
     """A typed narrow table: entity, value, and the attribute's name in an array where its rows disagree."""
     value = {"year": F.col("number").cast("int"), "number": F.col("number"), "quantity": F.col("number"), "date": F.col("day")}.get(kind, F.col("text"))
-    name = attribute + "_" if attribute in ("entity_id", "conflicts") else attribute
     flag = F.when(F.col("conflict"), F.array(F.lit(attribute))).otherwise(F.array().cast("array<string>"))
     return cells_.filter(F.col("part") == part).select("entity_id", value.alias(name), flag.alias("conflicts"))
 
 
 def _joined(first: DataFrame, others: list[DataFrame]) -> DataFrame:
-    """Outer joins on the entity; all sides are bucketed alike.  The spine of all entities comes first, so that no key has to
-    be coalesced, which would lose the partitioning."""
+    """Outer joins on the entity; all sides are bucketed alike, so that merge joins need no shuffle, and none is broadcast,
+    however small.  The spine of all entities comes first, so that no key has to be coalesced, which would lose the partitioning."""
     gathered = [F.col("conflicts")] if "conflicts" in first.columns else []
-    out = first.withColumnRenamed("conflicts", "_conflicts")
-    gathered = [F.col("_conflicts")] if gathered else []
+    out = first.withColumnRenamed("conflicts", MARK)
+    gathered = [F.col(MARK)] if gathered else []
     for i, other in enumerate(others):
-        out = out.join(other.withColumnRenamed("conflicts", f"_conflicts{i}"), "entity_id", "left")
-        gathered.append(F.coalesce(F.col(f"_conflicts{i}"), F.array().cast("array<string>")))
-    own = [c for c in out.columns if not c.startswith("_conflicts")]
+        out = out.join(other.withColumnRenamed("conflicts", f"{MARK}{i}").hint("merge"), "entity_id", "left")
+        gathered.append(F.coalesce(F.col(f"{MARK}{i}"), F.array().cast("array<string>")))
+    own = [c for c in out.columns if not c.startswith(MARK)]
     return out.select(*(F.col(f"`{c}`") for c in own), F.concat(*gathered).alias("conflicts"))
 
 
@@ -156,6 +182,7 @@ def _bucketed(df: DataFrame, n: int, *parts: str) -> DataFrame:
     name = f"graphweft_{uuid.uuid4().hex}"
     writer = df.repartition(n, "entity_id").write.format("parquet").bucketBy(n, "entity_id").sortBy("entity_id").option("path", fresh_path(spark, "wide"))
     (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
+    keep(spark, name)
     return spark.table(name)
 
 
