@@ -66,26 +66,59 @@ def build(spark: SparkSession, **frames: DataFrame) -> GraphCatalog:
 
 
 # The nine-entity example graph.
-TOY_ENTITIES = {
-    "alice": ("Alice", "person", ""), "bob": ("Bob", "person", ""), "cara": ("Cara", "person", ""), "acme": ("Acme", "company", ""),
-    "globex": ("Globex", "company", ""), "paris": ("Paris", "city", ""), "london": ("London", "city", ""), "france": ("France", "country", ""),
-    "uk": ("United Kingdom", "country", "UK"),
-}
-TOY_EDGES = (
-    "alice works_at acme|bob works_at acme|cara works_at globex|alice friend bob|bob friend cara|alice friend_of_friend cara|"
-    "acme located_in paris|globex located_in london|paris country france|london country uk"
-)
-TOY_AGES = {"alice": "34", "bob": "29", "cara": "41"}
+TOY_ENTITIES = [
+    ("alice", "Alice", []),
+    ("bob", "Bob", []),
+    ("cara", "Cara", []),
+    ("acme", "Acme", []),
+    ("globex", "Globex", []),
+    ("paris", "Paris", []),
+    ("london", "London", []),
+    ("france", "France", []),
+    ("uk", "United Kingdom", ["UK"]),
+]
+TOY_TYPES = [
+    ("alice", "person"),
+    ("bob", "person"),
+    ("cara", "person"),
+    ("acme", "company"),
+    ("globex", "company"),
+    ("paris", "city"),
+    ("london", "city"),
+    ("france", "country"),
+    ("uk", "country"),
+]
+TOY_EDGES = [
+    ("alice", "works_at", "acme"),
+    ("bob", "works_at", "acme"),
+    ("cara", "works_at", "globex"),
+    ("alice", "friend", "bob"),
+    ("bob", "friend", "cara"),
+    ("alice", "friend_of_friend", "cara"),
+    ("acme", "located_in", "paris"),
+    ("globex", "located_in", "london"),
+    ("paris", "country", "france"),
+    ("london", "country", "uk"),
+]
+TOY_AGES = [("alice", "34"), ("bob", "29"), ("cara", "41")]
 
 
 def toy(spark: SparkSession) -> GraphCatalog:
-    entities = [(i, label, [a] if a else []) for i, (label, _, a) in TOY_ENTITIES.items()]
+    return from_triples(spark, TOY_EDGES, TOY_ENTITIES, TOY_TYPES, [(i, "age", v, "number", None) for i, v in TOY_AGES])
+
+
+def from_triples(spark: SparkSession, triples: list, entities: list = (), types: list = (), attributes: list = ()) -> GraphCatalog:
+    """A graph held in memory: triples each once and in order; entities (id, label, aliases) that only triples name have their id
+    as label."""
+    rows = sorted(set(map(tuple, triples)))
+    named = {e[0] for e in entities}
+    others = sorted({x for s, _, o in rows for x in (s, o)} - named)
     return build(
         spark,
-        entities=spark.createDataFrame(entities, "entity_id string, label string, aliases array<string>"),
-        entity_types=spark.createDataFrame([(i, t) for i, (_, t, _) in TOY_ENTITIES.items()], "entity_id string, type_id string"),
-        edges=spark.createDataFrame([tuple(e.split(" ")) for e in TOY_EDGES.split("|")], "subject string, relation string, object string"),
-        attributes=spark.createDataFrame([(i, "age", v, "number", None) for i, v in TOY_AGES.items()], f"entity_id string, key string, {VALUE}"),
+        entities=spark.createDataFrame([*map(tuple, entities), *((i, i, []) for i in others)], "entity_id string, label string, aliases array<string>"),
+        entity_types=spark.createDataFrame(sorted(set(map(tuple, types))), "entity_id string, type_id string"),
+        edges=spark.createDataFrame(rows, "subject string, relation string, object string"),
+        attributes=spark.createDataFrame(list(map(tuple, attributes)), f"entity_id string, key string, {VALUE}"),
     )
 
 
@@ -180,10 +213,22 @@ def register(name: str, load: Callable[[SparkSession], GraphCatalog]) -> None:
 
 
 def snapshot(spark: SparkSession, name: str) -> GraphCatalog:
-    """A graph by name: a registered one, or ``star:<folder>`` and ``parquet:<folder>``."""
+    """A graph by name: a registered one, or ``star:<folder>``, ``parquet:<folder>``, ``kb:<file>``, ``pages:<file>`` and
+    ``sqlite:<file>``."""
     kind, _, folder = name.partition(":")
     if folder:
-        return star_schema(spark, folder) if kind == "star" else from_parquet(spark, folder)
+        from graphweft.sources import knowledge, readers
+
+        loaders = {
+            "star": star_schema,
+            "parquet": from_parquet,
+            "kb": knowledge.knowledge_base,
+            "pages": lambda s, path: knowledge.pages(s, path)[0],
+            "sqlite": readers.sqlite_catalog,
+        }
+        if kind not in loaders:
+            raise KeyError(f"no kind of snapshot named {kind}")
+        return loaders[kind](spark, folder)
     if name not in _SNAPSHOTS:
         raise KeyError(f"no snapshot named {name}")
     return _SNAPSHOTS[name](spark)
