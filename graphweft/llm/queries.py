@@ -101,4 +101,33 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_sample, p5_found, p5_accepted, p6_by_role, p6_by_origin, p6_shares, p7_found, p7_report, p8_ids, p9_found, p10_found)}
-ORACLES: dict[str, str] = {}
+
+
+def _mixture_sql(config: str, column: str) -> str:
+    """Quotas by largest remainder, slots by the golden-ratio lattice, rows ranked by their hash: the mixture in SQL."""
+    return f"""WITH c AS (SELECT lower(trim(field_name)) AS f, trim(field_value) AS v FROM run_config WHERE lower(config_name) = '{config}'),
+w AS (SELECT replace(f, '_ratio', '') AS source, CAST(CAST(v AS DECIMAL(18,6)) * 1000000 AS HUGEINT) AS w FROM c WHERE f LIKE '%_ratio'), rep AS (SELECT CAST(v AS BIGINT) AS rep FROM c WHERE f = 'max_repeats'),
+own AS (SELECT row_id, min(lower(trim({column}))) AS source FROM sft_rows WHERE lower(trim({column})) IN (SELECT source FROM w) AND row_id IS NOT NULL GROUP BY row_id),
+sizes AS (SELECT w.source, w.w, count(own.row_id) AS size, (SELECT sum(w) FROM w) AS ws FROM w LEFT JOIN own USING (source) GROUP BY 1, 2),
+most AS (SELECT least(sum(size), min((size * rep + 1) * ws // w)) AS t FROM sizes, rep),
+tries AS (SELECT t - k AS t FROM most, range(0, 10) AS g(k)),
+exact AS (SELECT t, source, size, w * t // ws AS whole, w * t % ws AS over FROM sizes, tries),
+placed AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY over DESC, source) <= t - sum(whole) OVER (PARTITION BY t) AS more FROM exact),
+quota AS (SELECT t, source, size, CAST(whole + CASE WHEN more THEN 1 ELSE 0 END AS BIGINT) AS slots FROM placed),
+best AS (SELECT max(t) AS t FROM (SELECT t FROM quota, rep GROUP BY t HAVING max(CASE WHEN slots > size * rep THEN 1 ELSE 0 END) = 0)),
+final AS (SELECT source, size, slots, CAST(coalesce(sum(slots) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins, CAST(t AS BIGINT) AS total FROM quota WHERE t = (SELECT t FROM best)),
+step AS (SELECT min(m) AS step FROM (SELECT unnest(range(greatest(1, CAST(round_even(total * (sqrt(5) - 1) / 2, 0) AS BIGINT)), total + 2)) AS m, total FROM (SELECT DISTINCT total FROM final)) WHERE gcd(m, total) = 1),
+slot AS (SELECT s AS slot, (CAST(s AS HUGEINT) * step) % total AS point FROM (SELECT unnest(range(total)) AS s, total FROM (SELECT DISTINCT total FROM final)), step),
+filled AS (SELECT slot, source, (point - begins) % size AS rank, (point - begins) // size AS copy FROM slot JOIN final ON point >= begins AND point < begins + slots),
+ranked AS (SELECT row_id, source, row_number() OVER (PARTITION BY source ORDER BY CAST('0x' || substr(sha256('0' || source || row_id), 1, 13) AS BIGINT), row_id) - 1 AS rank FROM own)
+SELECT CAST(slot AS BIGINT) AS slot, source, row_id, CAST(copy AS BIGINT) AS copy FROM filled JOIN ranked USING (source, rank)"""
+
+
+ORACLES: dict[str, str] = {
+    "p1_sample": """WITH c AS (SELECT lower(trim(field_name)) AS f, trim(field_value) AS v, trim(coalesce(applies_to, '')) AS a FROM run_config WHERE lower(config_name) = 'sftcapabilityconfig'),
+own AS (SELECT DISTINCT f AS input_name, row_id, data_source, task_id, prompt, extra_info FROM probe_rows JOIN c ON f LIKE '%_input' AND lower(trim(input_name)) = f AND lower(trim(data_source)) = lower(string_split(a, ' ')[-1]) WHERE row_id IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY input_name ORDER BY CAST('0x' || substr(sha256((SELECT v FROM c WHERE f = 'seed') || input_name || row_id), 1, 13) AS BIGINT), row_id) AS n FROM own)
+SELECT input_name, row_id, data_source, task_id, prompt, extra_info FROM ranked WHERE n <= (SELECT CAST(v AS INT) FROM c WHERE f = 'groups')""",
+    "p6_by_role": _mixture_sql("prepare_mixed_sft_data", "role"),
+    "p6_by_origin": _mixture_sql("selfplayconfig", "origin"),
+}
