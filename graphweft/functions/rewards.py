@@ -155,10 +155,15 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
+def whole_json(text: Column) -> Column:
+    """Whether a text is JSON without anything after it, which a parser by itself passes over."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+
+
 def script_shape(text: Column, version: str, allowed: list[str]) -> Column:
     """code_present, schema_fraction, valid_operation_fraction, valid_prefix_fraction of a script's text.  A text that is whole
     JSON is read; of a cut-off one only explicit keys and operator names are, for ``TRUNCATED`` of the credit."""
-    whole = F.try_parse_json(text)
+    whole = whole_json(text)
     ops = F.from_json(text, "struct<version: string, ops: array<struct<op: string>>>")
     names_whole = F.transform(F.coalesce(ops["ops"], F.array().cast("array<struct<op:string>>")), lambda o: F.coalesce(o["op"], F.lit("")))
     names_cut = F.regexp_extract_all(text, F.lit(r'"op"\s*:\s*"([^"\\]*)"'), F.lit(1))
@@ -174,7 +179,7 @@ def script_shape(text: Column, version: str, allowed: list[str]) -> Column:
         )
 
     read = shape(names_whole, F.size(names_whole), F.lit(True), F.coalesce(ops["version"] == version, F.lit(False)), F.size(names_whole) > 0, 1.0)
-    return F.when(whole.isNotNull(), read).otherwise(shape(names_cut, slots, version_there | ops_there | program_there, version_there, ops_there, TRUNCATED))
+    return F.when(whole, read).otherwise(shape(names_cut, slots, version_there | ops_there | program_there, version_there, ops_there, TRUNCATED))
 
 
 def question_present(text: Column) -> Column:

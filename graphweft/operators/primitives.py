@@ -33,19 +33,27 @@ def attribute_facts(catalog: GraphCatalog, ids: DataFrame, keys: list[str] | Non
 
 
 def degrees(catalog: GraphCatalog, ids: DataFrame) -> DataFrame:
-    """entity_id, degree: in and out edges, 0 for entities without any.  Counts are taken per endpoint before the join."""
-    ends = catalog.edges.select(F.explode(F.array("subject", "object")).alias("entity_id")).groupBy("entity_id").count()
+    """entity_id, degree: in and out edges, 0 for entities without any.  Only edges at the entities are counted, map-side first."""
+    at = [catalog.edges.select(F.col(c).alias("entity_id")).join(ids, "entity_id", "left_semi") for c in ("subject", "object")]
+    ends = at[0].unionByName(at[1]).groupBy("entity_id").count()
     return ids.join(ends, "entity_id", "left").select("entity_id", F.coalesce("count", F.lit(0)).alias("degree"))
 
 
 def relation_frontier(catalog: GraphCatalog, ids: DataFrame, limit: int | None = None) -> DataFrame:
-    """Distinct (relation, direction) leading on from the entities."""
-    out = [neighbors(catalog, ids, d, limit=limit).select("relation", F.lit(d).alias("direction")) for d in ("out", "in")]
-    return out[0].unionByName(out[1]).distinct()
+    """Distinct (relation, direction) leading on from the entities.  Without a limit on edges, only names are made distinct."""
+    if limit is not None:
+        out = [neighbors(catalog, ids, d, limit=limit).select("relation", F.lit(d).alias("direction")) for d in ("out", "in")]
+        return out[0].unionByName(out[1]).distinct()
+    at = lambda df, c, d: df.join(ids.select(F.col("entity_id").alias(c)), c, "left_semi").select("relation", F.lit(d).alias("direction")).distinct()
+    return at(catalog.triples, "subject", "out").unionByName(at(catalog.triples, "object", "in"))
 
 
 def resolve(catalog: GraphCatalog, text: str, match: str = "exact", limit: int = 20) -> DataFrame:
-    """Entities by id, or by label or alias without regard to case."""
+    """Entities by id, by label or alias without regard to case, or (``search``) where none is named so, by passages."""
+    if match == "search":
+        from graphweft.operators import search
+
+        return search.resolve(catalog.entities, catalog.passages, text, limit)
     if match == "id":
         return catalog.entities.filter(F.col("entity_id") == text).select("entity_id", "label")
     low = text.lower()
@@ -115,15 +123,22 @@ def materialize(catalog: GraphCatalog, program: M.Node, max_nodes: int = 10_000,
     return out.join(F.broadcast(sizes)).select(*ORDER, ((F.col("_e") > max_edges) | (F.col("_n") > max_nodes)).alias("truncated"))
 
 
-def seed_context(catalog: GraphCatalog, ids: DataFrame, edges_each: int = 200, relations_each: int = 64) -> DataFrame:
-    """Per entity its label and the relations leading out and in, from its first edges only."""
+def seed_context(catalog: GraphCatalog, ids: DataFrame, edges_each: int = 200, relations_each: int = 64, allowed: list[str] | None = None) -> DataFrame:
+    """Per entity its label and the relations leading out and in, from its first edges only; of these, the ``allowed`` ones."""
+    if allowed is not None:
+        some = seed_context(catalog, ids, edges_each, 1 << 30)
+        keep = lambda c: F.slice(F.array_intersect(F.col(c), F.array(*map(F.lit, allowed))), 1, relations_each).alias(c)
+        return some.select("entity_id", "label", "type_ids", keep("out_relations"), keep("in_relations"))
     ids = cut(ids.select("entity_id").distinct())
 
     def side(near: str) -> DataFrame:
         rows = catalog.edges.withColumnRenamed(near, "entity_id").join(ids, "entity_id", "left_semi")
         far = "object" if near == "subject" else "subject"
-        rank = F.row_number().over(W.partitionBy("entity_id").orderBy("relation", far))
-        return rows.withColumn("_r", rank).filter(F.col("_r") <= edges_each).groupBy("entity_id").agg(F.slice(F.array_sort(F.collect_set("relation")), 1, relations_each).alias("out_relations" if near == "subject" else "in_relations"))
+        # The relations among the first edges in order: a relation counts if fewer than ``edges_each`` edges come before its first.
+        sizes = rows.select("entity_id", "relation", far).distinct().groupBy("entity_id", "relation").count()
+        before = F.coalesce(F.sum("count").over(W.partitionBy("entity_id").orderBy("relation").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        kept = sizes.withColumn("_b", before).filter(F.col("_b") < edges_each)  # a row per entity and relation, no longer per edge
+        return kept.groupBy("entity_id").agg(F.slice(F.array_sort(F.collect_set("relation")), 1, relations_each).alias("out_relations" if near == "subject" else "in_relations"))
 
     none: Column = F.array().cast("array<string>")
     out = infos(catalog, ids).join(side("subject"), "entity_id", "left").join(side("object"), "entity_id", "left")

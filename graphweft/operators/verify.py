@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +111,7 @@ def certify(catalog: GraphCatalog, program: M.Node, question: str, most_answers:
     """The certificate of a task: answers, signature, cost, necessity, shortcut, leak, and what speaks against it."""
     try:
         answers = [(r.kind, r.value) for r in Compiler(catalog).answers(program).orderBy("kind", "value").limit(most_answers + 1).collect()]
-    except Exception as problem:  # noqa: BLE001
+    except (ValueError, TypeError, AnalysisException) as problem:  # a program that cannot run; a lost executor is no verdict
         return {"reasons": ["EXECUTION_ERROR"], "detail": str(problem)[:200]}
     reasons = [] if answers else ["EMPTY_ANSWER"]
     if len(answers) > most_answers:

@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
+import re
+from collections.abc import Callable, Mapping
 
 from graphweft.plans import model as M
 
 # What each operator costs.
-COST = {"entity": 0.0} | dict.fromkeys(("all_entities", "filter_type", "verify"), 0.5) | dict.fromkeys(("hop", "filter_literal", "filter_qualifier", "count", "query_attribute", "query_relation"), 1.0)
-OTHER_COST = 1.5
+COST = {
+    "entity": 0.0,
+    "all_entities": 0.5,
+    "hop": 1.0,
+    "filter_type": 0.5,
+    "filter_literal": 1.0,
+    "filter_qualifier": 1.0,
+    "intersect": 1.5,
+    "union": 1.5,
+    "count": 1.0,
+    "query_attribute": 1.0,
+    "query_attribute_under_condition": 1.5,
+    "query_attribute_qualifier": 1.5,
+    "query_relation": 1.0,
+    "query_relation_qualifier": 1.5,
+    "verify": 0.5,
+    "select_among": 1.5,
+    "select_between": 1.5,
+}
+UNSAFE = re.compile(r'[\x00-\x20<>"{}|\\^`\x7f]')
+MARK = "# program:"
 
 
 def walk(node: M.Node):
@@ -19,7 +41,7 @@ def walk(node: M.Node):
 
 
 def cost(node: M.Node) -> float:
-    return sum(COST.get(n.op, OTHER_COST) for n in walk(node))
+    return sum(COST[n.op] for n in walk(node))
 
 
 def operators(node: M.Node) -> list[str]:
@@ -42,21 +64,52 @@ def covered(node: M.Node, catalogue: set[str]) -> bool:
 
 
 def canonical(node: M.Node) -> M.Node:
-    """Nested unions and intersections flattened, branches distinct and in order; idempotent."""
-    changes = {}
-    for name, value in node.__dict__.items():
+    """Branches of unions and intersections in order; idempotent."""
+
+    def changed(value: object) -> object:
         if isinstance(value, M.Node):
-            changes[name] = canonical(value)
-        elif isinstance(value, tuple) and value and isinstance(value[0], M.Node):
-            flat: dict[str, M.Node] = {}
-            for branch in map(canonical, value):
-                for b in branch.inputs if type(branch) is type(node) else (branch,):
-                    flat[M.dumps(b)] = b
-            ordered = tuple(flat[k] for k in sorted(flat))
-            if len(ordered) == 1:
-                return ordered[0]
-            changes[name] = ordered
-    return node.replace(**changes)
+            return canonical(value)
+        if isinstance(value, tuple) and value and isinstance(value[0], M.Node):
+            return tuple(sorted(map(canonical, value), key=M.dumps))
+        return value
+
+    return node.replace(**{name: changed(value) for name, value in node.__dict__.items()})
+
+
+def renamed(node: M.Node, change: Callable[[str], str]) -> M.Node:
+    """A program with its ids (entities, types, relations, attributes, qualifiers) put through ``change``."""
+    names = ("entity_id", "type_id", "relation", "attribute", "qualifier")
+
+    def changed(name: str, value: object) -> object:
+        if isinstance(value, M.Node):
+            return renamed(value, change)
+        if isinstance(value, tuple) and value and isinstance(value[0], M.Node):
+            return tuple(renamed(v, change) for v in value)
+        return change(value) if name in names else value
+
+    return node.replace(**{name: changed(name, value) for name, value in node.__dict__.items()})
+
+
+def expanded(node: M.Node, prefixes: Mapping[str, str]) -> M.Node:
+    """Ids written ``prefix:name`` as whole IRIs; the longest prefix counts, others stay."""
+    def full(name: str) -> str:
+        for prefix in sorted(prefixes, key=len, reverse=True):
+            if name.startswith(f"{prefix}:"):
+                return prefixes[prefix] + name[len(prefix) + 1 :]
+        return name
+
+    return renamed(node, full)
+
+
+def compacted(node: M.Node, prefixes: Mapping[str, str]) -> M.Node:
+    """The reverse of ``expanded``: the longest IRI counts."""
+    def short(name: str) -> str:
+        for prefix, iri in sorted(prefixes.items(), key=lambda x: -len(x[1])):
+            if name.startswith(iri):
+                return f"{prefix}:{name[len(iri) :]}"
+        return name
+
+    return renamed(node, short)
 
 
 def signature(node: M.Node) -> str:
@@ -122,18 +175,27 @@ def verbalize(node: M.Node) -> str:
 
 
 def sparql(node: M.Node) -> str:
-    """SPARQL 1.1 text of a program over entity sets, its count, or its attribute values."""
+    """SPARQL 1.1 text of a program.  Facts with qualifiers are nodes with urn:fact:subject, predicate, object or value, and
+    urn:qualifier:<name>.  Ids that cannot stand in an IRI are refused: UNSAFE_IRI."""
     lines: list[str] = []
     fresh = iter(f"?v{i}" for i in range(10_000))
 
     def iri(name: str) -> str:
-        return "<" + "".join(ch if ch.isalnum() or ch in ":/#._-~" else f"%{ord(ch):02X}" for ch in name) + ">"
+        if not name or UNSAFE.search(name):
+            raise ValueError(f"UNSAFE_IRI: {name!r}")
+        return f"<{name}>"
+
+    def qualifier(name: str) -> str:
+        return iri(f"urn:qualifier:{name}")
+
+    def test(x: str, comparator: str, v: M.Literal) -> str:
+        sign = {"eq": "=", "ne": "!=", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
+        return f"CONTAINS(LCASE(STR({x})), LCASE({json.dumps(str(v.value), ensure_ascii=False)}))" if comparator == "contains" else f"{x} {sign[comparator]} {text(v)}"
 
     def text(v: M.Literal) -> str:
         return str(v.value) if v.datatype in ("quantity", "number", "year") else json.dumps(str(v.value), ensure_ascii=False)
 
     def emit(n: M.Node, var: str, into: list[str]) -> None:
-        sign = {"eq": "=", "ne": "!=", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
         match n:
             case M.Entity():
                 into.append(f"VALUES {var} {{ {iri(n.entity_id)} }}")
@@ -159,8 +221,12 @@ def sparql(node: M.Node) -> str:
             case M.FilterLiteral():
                 emit(n.input, var, into)
                 x = next(fresh)
-                test = f"CONTAINS(LCASE(STR({x})), LCASE({json.dumps(str(n.value.value))}))" if n.comparator == "contains" else f"{x} {sign[n.comparator]} {text(n.value)}"
-                into.append(f"{var} {iri(n.relation)} {x} . FILTER({test})")
+                into.append(f"{var} {iri(n.relation)} {x} . FILTER({test(x, n.comparator, n.value)})")
+            case M.FilterQualifier():
+                emit(n.input, var, into)
+                fact, x = next(fresh), next(fresh)
+                place = "<urn:fact:object>" if isinstance(n.input, M.Hop) and n.input.direction == "out" else "<urn:fact:subject>"
+                into.append(f"{fact} {place} {var} . {fact} {qualifier(n.qualifier)} {x} . FILTER({test(x, n.comparator, n.value)})")
             case M.SelectAmong() | M.SelectBetween():
                 inner: list[str] = []
                 source = M.Union((n.left, n.right)) if isinstance(n, M.SelectBetween) else n.input
@@ -171,11 +237,46 @@ def sparql(node: M.Node) -> str:
             case _:
                 raise ValueError(f"no SPARQL for {n.op}")
 
+    def value(n: M.Node, var: str) -> None:
+        match n:
+            case M.QueryAttribute():
+                emit(n.input, "?e", lines)
+                lines.append(f"?e {iri(n.attribute)} {var} .")
+            case M.QueryAttributeUnderCondition():
+                emit(n.input, "?e", lines)
+                lines.append(f"?f <urn:fact:subject> ?e . ?f <urn:fact:predicate> {iri(n.attribute)} . ?f <urn:fact:value> {var} . ?f {qualifier(n.qualifier)} ?q . FILTER({test('?q', 'eq', n.qualifier_value)})")
+            case M.QueryAttributeQualifier():
+                emit(n.input, "?e", lines)
+                lines.append(f"?f <urn:fact:subject> ?e . ?f <urn:fact:predicate> {iri(n.attribute)} . ?f <urn:fact:value> ?w . FILTER({test('?w', 'eq', n.attribute_value)}) ?f {qualifier(n.qualifier)} {var} .")
+            case M.QueryRelation():
+                emit(n.subject, "?e", lines)
+                emit(n.object, "?o", lines)
+                lines.append(f"?e {var} ?o .")
+            case M.QueryRelationQualifier():
+                emit(n.subject, "?e", lines)
+                emit(n.object, "?o", lines)
+                lines.append(f"?f <urn:fact:subject> ?e . ?f <urn:fact:predicate> {iri(n.relation)} . ?f <urn:fact:object> ?o . ?f {qualifier(n.qualifier)} {var} .")
+            case _:
+                emit(n, var, lines)
+
     if isinstance(node, M.Count):
         emit(node.input, "?x", lines)
         return f"SELECT (COUNT(DISTINCT ?x) AS ?n) WHERE {{ {' '.join(lines)} }}"
-    if isinstance(node, M.QueryAttribute):
-        emit(node.input, "?e", lines)
-        return f"SELECT DISTINCT ?x WHERE {{ {' '.join(lines)} ?e {iri(node.attribute)} ?x . }}"
-    emit(node, "?x", lines)
+    if isinstance(node, M.Verify):
+        value(node.input, "?x")
+        return f'SELECT (IF(COUNT(?x) > 0, "yes", "no") AS ?v) WHERE {{ {" ".join(lines)} FILTER({test("?x", node.comparator, node.value)}) }}'
+    value(node, "?x")
     return f"SELECT DISTINCT ?x WHERE {{ {' '.join(lines)} }}"
+
+
+def marked(node: M.Node) -> str:
+    """SPARQL text that carries its program in a comment, so that an engine of programs can run it."""
+    return f"{MARK}{base64.urlsafe_b64encode(M.dumps(node).encode()).decode()}\n{sparql(node)}"
+
+
+def unmarked(text: str) -> M.Node:
+    """The program a marked text carries."""
+    first = text.split("\n", 1)[0]
+    if not first.startswith(MARK):
+        raise ValueError("NO_PROGRAM")
+    return M.parse(base64.urlsafe_b64decode(first[len(MARK) :]).decode())

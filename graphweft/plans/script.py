@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -134,12 +134,29 @@ class Handle:
     bounded: bool = False
 
 
+@dataclass(frozen=True)
+class Step:
+    """A step as it ran: its inputs, what it made, the first of its values in order and how many there are, and what had been
+    used by then.  A handle over all entities is deferred: its values are not looked at."""
+
+    index: int
+    op: str
+    inputs: tuple[str, ...]
+    output: str | None
+    kind: str | None
+    values: tuple[str, ...]
+    total: int | None
+    usage: dict[str, int]
+    relevant: bool = True
+
+
 @dataclass
 class Result:
     answers: DataFrame
     program: M.Node | None
     usage: dict[str, int] = field(default_factory=dict)
     relation_path: tuple[str, ...] = ()
+    steps: tuple[Step, ...] = ()
 
 
 class Executor:
@@ -154,8 +171,10 @@ class Executor:
         if self.allowed is not None and name not in self.allowed:
             raise ScriptError("RELATION_NOT_ALLOWED", name)
 
-    def run(self, script: Script, seed: str | None = None) -> Result:
+    def run(self, script: Script, seed: str | None = None, trace: int | None = None) -> Result:
+        """The answers of a script; with ``trace``, also its steps, each with that many values (which costs jobs)."""
         self.compiler = Compiler(self.catalog)
+        steps: list[Step] = []
         self.usage = {"edge_visits": 0, "graph_calls": 0, "returned_entities": 0, "passages": 0}
         self.path: list[str] = []
         handles: dict[str, Handle] = {}
@@ -169,12 +188,21 @@ class Executor:
                 if n > self.budget["returned_entities"]:
                     raise ScriptError("BUDGET_EXCEEDED", "returned_entities")
                 self.usage["returned_entities"] = n
-                return Result(answers, h.program, dict(self.usage), tuple(self.path))
+                return Result(answers, h.program, dict(self.usage), tuple(self.path), _relevant(steps, op["in"]))
             made = self._step(op, handles, seed)
             if made is not None:
                 handles[op["out"]] = made
+            if trace is not None:
+                steps.append(self._traced(len(steps), op, made, trace))
         raise ScriptError("INVALID_SCHEMA")
 
+    def _traced(self, index: int, op: dict[str, Any], made: Handle | None, most: int) -> Step:
+        from graphweft.plans import trace
+
+        deferred = made is None or isinstance(made.program, M.AllEntities)
+        values, total = ((), None) if deferred else trace.preview(made.df, most)
+        return Step(index, op["op"], _inputs(op), op.get("out"), made.kind if made else None, values, total, dict(self.usage))
+
     def _lazy(self, node: M.Node) -> Handle:
         self.usage["graph_calls"] += 1
         return Handle(E, self.compiler.entities(node), node)
@@ -213,7 +241,9 @@ class Executor:
                 self.usage["passages"] += n
                 return Handle(P, df)
             case "passage_pages":
-                return Handle(E, get().df.select(F.col("page_id").alias("entity_id")).distinct(), None, True)
+                ids = sorted({r.page_id for r in get().df.select("page_id").collect()})  # at most as many as a search gives
+                node = M.Entity(ids[0]) if len(ids) == 1 else M.Union(tuple(map(M.Entity, ids)))
+                return Handle(E, self.compiler.entities(node), node)
             case "follow":
                 self._may(op["relation"])
                 h, direction = get(), op.get("direction", "out")
@@ -284,6 +314,21 @@ class Executor:
         return Handle(A, self.compiler.answers(node), node)
 
 
+def _inputs(op: dict[str, Any]) -> tuple[str, ...]:
+    names, *_ = STEPS[op["op"]]
+    return tuple(h for slot in names for h in (op[slot] if slot == "inputs" else [op[slot]]))
+
+
+def _relevant(steps: list[Step], emitted: str) -> tuple[Step, ...]:
+    """The steps, from the last back marked by whether what is emitted rests on them."""
+    needed, out = {emitted}, []
+    for s in reversed(steps):
+        relevant = s.output in needed or (s.output is None and bool(needed & set(s.inputs)))
+        needed |= set(s.inputs) if relevant else set()
+        out.append(replace(s, relevant=relevant))
+    return tuple(out[::-1])
+
+
 def execute(catalog: GraphCatalog, script: str | dict | Script, seed: str | None = None, **budgets: Any) -> Result:
     checked = script if isinstance(script, Script) else parse(script) if isinstance(script, str) else check(script)
     return Executor(catalog, **budgets).run(checked, seed)

@@ -51,5 +51,21 @@ edges AS (SELECT DISTINCT trim(k.node_id) AS child, trim(p.p) AS parent FROM kb
 reach AS (SELECT child AS node_id, parent AS ancestor FROM edges
   UNION SELECT r.node_id, e.parent FROM reach r JOIN edges e ON e.child = r.ancestor)"""
 ORACLES = {
+    "p3_descendants": """WITH RECURSIVE ids AS (SELECT DISTINCT trim(node_id) AS node_id FROM kb WHERE trim(node_id) <> ''),
+edges AS (SELECT DISTINCT trim(k.node_id) AS child, trim(p.p) AS parent FROM kb k, unnest(k.instanceof) AS p(p)
+  WHERE trim(p.p) IN (SELECT node_id FROM ids) AND trim(k.node_id) <> ''),
+walk AS (SELECT child AS node_id, parent AS ancestor, 1 AS distance, [child, parent] AS seen FROM edges
+  UNION ALL SELECT w.node_id, e.parent, w.distance + 1, list_append(w.seen, e.parent) FROM walk w JOIN edges e ON e.child = w.ancestor
+  WHERE w.ancestor <> w.node_id AND (e.parent = w.node_id OR NOT list_contains(w.seen, e.parent)))
+SELECT ancestor AS node_id, node_id AS descendant, CAST(min(distance) AS BIGINT) AS distance FROM walk GROUP BY 1, 2""",
+    "p3_paths": """WITH RECURSIVE ids AS (SELECT DISTINCT trim(node_id) AS node_id FROM kb WHERE trim(node_id) <> ''),
+edges AS (SELECT DISTINCT trim(k.node_id) AS child, trim(p.p) AS parent FROM kb k, unnest(k.instanceof) AS p(p)
+  WHERE trim(p.p) IN (SELECT node_id FROM ids) AND trim(k.node_id) <> ''),
+reach AS (SELECT child AS node_id, parent AS ancestor FROM edges UNION SELECT r.node_id, e.parent FROM reach r JOIN edges e ON e.child = r.ancestor),
+loops AS (SELECT DISTINCT node_id FROM reach WHERE node_id = ancestor),
+up AS (SELECT node_id, node_id AS tip, node_id AS path, CAST(0 AS BIGINT) AS depth FROM ids
+  UNION ALL SELECT u.node_id, e.parent, e.parent || ' > ' || u.path, u.depth + 1 FROM up u JOIN edges e ON e.child = u.tip WHERE u.tip NOT IN (SELECT node_id FROM loops))
+SELECT node_id, CASE WHEN tip IN (SELECT node_id FROM loops) THEN NULL ELSE tip END AS root, depth, path, tip IN (SELECT node_id FROM loops) AS looped
+FROM up WHERE tip IN (SELECT node_id FROM loops) OR tip NOT IN (SELECT child FROM edges)""",
     "p3_found": f"{_LINKS} SELECT DISTINCT node_id FROM reach WHERE node_id = ancestor",
 }

@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.queries import general, graph, tables
+from graphweft.queries import evaluation, general, graph, surfaces, tables
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**graph.QUERIES, **tables.QUERIES, **general.QUERIES}
+    return {**graph.QUERIES, **tables.QUERIES, **general.QUERIES, **surfaces.QUERIES, **evaluation.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return {**graph.ORACLES, **tables.ORACLES, **general.ORACLES}
+    return {**graph.ORACLES, **tables.ORACLES, **general.ORACLES, **surfaces.ORACLES, **evaluation.ORACLES}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

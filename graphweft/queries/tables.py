@@ -32,7 +32,10 @@ def stratified_topk(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.top_per_stratum(rows, "role", "row_id", 20, 7)
 
 
-@_query()
+@_query("""WITH s AS (SELECT dataset, count(*) AS n FROM benchmark_examples WHERE dataset IS NOT NULL GROUP BY 1), t AS (SELECT least(100, sum(n)) AS total FROM s),
+b AS (SELECT dataset, n, 1 AS base FROM s), r AS (SELECT dataset, n - 1 AS room, (total - (SELECT count(*) FROM s)) AS rest, n FROM b, t), e AS (SELECT *, rest * room / (SELECT sum(room) FROM r)::DOUBLE AS share FROM r),
+w AS (SELECT *, least(CAST(floor(share) AS BIGINT), room) AS given FROM e), k AS (SELECT *, row_number() OVER (ORDER BY share - floor(share) DESC, room DESC, dataset) AS place, rest - sum(given) OVER () AS over FROM w)
+SELECT dataset, CAST(1 + given + CASE WHEN place <= over AND given < room THEN 1 ELSE 0 END AS BIGINT) AS n FROM k""")
 def stratified_quota(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "benchmark_examples", "example_id", "dataset")
     return sampling.stratified(rows, "dataset", "example_id", 100, 42).groupBy("dataset").agg(F.count("*").alias("n"))
@@ -131,10 +134,12 @@ def run_compare(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.compared(runs, "click", "em").withColumn("delta", F.round("delta", 6))
 
 
-@_query("""WITH m AS (SELECT user_id, least(avg(value) / 100, 1.0) AS rate, count(*) AS n FROM events GROUP BY user_id)
+@_query("""WITH m AS (SELECT user_id, least(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value) / 100, 1.0) AS rate, count(*) AS n FROM events GROUP BY user_id)
 SELECT user_id, round(exp(-(rate - 0.5) * (rate - 0.5) / 0.08), 6) AS frontier, round((rate * n + 1) / (n + 2), 6) AS smoothed, round(0.2 + 0.8 * (0.35 * exp(-(rate - 0.5) * (rate - 0.5) / 0.08) + 0.25 + 0.25 * 0.5 + 0.15 * exp(-0.05 * 3.0)), 6) AS quality FROM m""")
 def reward_frontier(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "events", "user_id", "value").groupBy("user_id").agg(F.least(F.avg("value") / 100, F.lit(1.0)).alias("rate"), F.count("*").alias("n"))
+    rows = table(spark, folder, "events", "user_id", "value")
+    mean = F.sum(F.col("value").cast("decimal(18,4)")).cast("double") / F.count("value")  # exact sums: the order of rows decides no digit
+    rows = rows.groupBy("user_id").agg(F.least(mean / 100, F.lit(1.0)).alias("rate"), F.count("*").alias("n"))
     rate = F.col("rate")
     return rows.select(
         "user_id", F.round(rewards.frontier(rate), 6).alias("frontier"), F.round(rewards.smoothed(rate, F.col("n")), 6).alias("smoothed"),
@@ -161,7 +166,16 @@ def message_shapes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("row_id", "written_at", F.size("messages").cast("long").alias("turns"), having(lambda m: m["role"] == "assistant").alias("assistant_turns"), having(calls).alias("calling_turns"))
 
 
-@_query()
+@_query("SELECT row_id, [{'role': m.role, 'content': coalesce(m.content, ''), 'tool_calls': len(m.tool_calls)} for m in messages] AS messages FROM sft_rows")
+def messages_shaped(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages as training records, tool calls counted."""
+    shape = lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["content"], F.lit("")).alias("content"), F.size(F.from_json(F.to_json(m["tool_calls"]), "array<struct<id:string>>")).cast("long").alias("tool_calls"))
+    out = table(spark, folder, "sft_rows", "row_id", "messages").select("row_id", F.transform("messages", shape).alias("messages"))
+    fixed = lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), F.when(m["tool_calls"] >= 0, m["tool_calls"]).alias("tool_calls"))
+    return out.select("row_id", F.transform("messages", fixed).alias("messages"))
+
+
+@_query("SELECT row_id, [{'role': m.role, 'content': coalesce(m.content, ''), 'tool_calls': CASE WHEN m.tool_calls IS NULL THEN NULL ELSE '[' || array_to_string(['{' || array_to_string([p for p in ['\"id\":' || to_json(c.id), '\"type\":' || to_json(c.type), CASE WHEN c.function IS NOT NULL THEN '\"function\":{' || array_to_string([q for q in ['\"name\":' || to_json(c.function.name), '\"arguments\":' || to_json(c.function.arguments)] if q IS NOT NULL], ',') || '}' END] if p IS NOT NULL], ',') || '}' for c in m.tool_calls], ',') || ']' END} for m in messages] AS messages FROM sft_rows")
 def messages_normalized(spark: SparkSession, folder: str) -> DataFrame:
     """Messages as training records: empty contents for NULL, tool calls packed as JSON."""
     shape = lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["content"], F.lit("")).alias("content"), F.to_json(m["tool_calls"]).alias("tool_calls"))
@@ -202,6 +216,14 @@ def stream_role_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "role", "n", F.round("total", 4).alias("total"))
 
 
+@_query("SELECT user_id, count(*) AS calls, CAST(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS DOUBLE) AS used, sum(CAST(value AS DECIMAL(18,2))) > 1000 AS spent FROM events GROUP BY user_id")
+def stream_budget_final(spark: SparkSession, folder: str) -> DataFrame:
+    """What each key has used up when the stream has been read, to the cent."""
+    out = streams.drain(streams.running_budget(_stream(spark, folder).select("user_id", "value"), "user_id", "value", 1000.0), "graphweft_budget_final", "update")
+    last = out.groupBy("user_id").agg(F.max_by(F.struct("calls", "used", "spent"), "calls").alias("x")).select("user_id", "x.*")
+    return last.withColumn("used", F.round("used", 2))
+
+
 @_query()
 def stream_budget(spark: SparkSession, folder: str) -> DataFrame:
     return streams.drain(streams.running_budget(_stream(spark, folder).select("user_id", "value"), "user_id", "value", 1000.0), "graphweft_budget", "update")
