@@ -51,7 +51,7 @@ def _rate(part: Column, whole: Column) -> Column:
 
 def benchmark_summary(results: DataFrame) -> DataFrame:
     """Per split, and over all (split NULL): count and nine means; one pass.  Columns the results lack count as 0; no
-    results give just a count of 0 over all."""
+    results give no rows."""
     means = [F.coalesce(F.avg(_value(results, c)), F.lit(0.0)).alias(name) for name, c in BENCHMARK_MEANS.items()]
     return results.rollup("split").agg(F.grouping("split").alias("_all"), F.count("*").alias("count"), *means).filter("_all = 1 or split is not null").drop("_all")
 

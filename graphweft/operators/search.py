@@ -14,12 +14,16 @@ K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+#: The same of plain English.
+PLAIN = r"[a-z0-9]+"
 
 
-def terms_of(query: str) -> list[str]:
-    return sorted(set(re.findall(r"[^\W_]+", query.lower())))
+def tokens(text: Column, token: str = TOKEN) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(token), F.lit(0))
+
+
+def terms_of(query: str, token: str = TOKEN) -> list[str]:
+    return sorted(set(re.findall(r"[^\W_]+" if token == TOKEN else token, query.lower())))
 
 
 def postings(passages: DataFrame) -> DataFrame:
@@ -30,14 +34,14 @@ def postings(passages: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "paragraph_id", "token", "dl").agg(F.count("*").alias("tf"))
 
 
-def scores(passages: DataFrame, query: str) -> DataFrame:
+def scores(passages: DataFrame, query: str, token: str = TOKEN) -> DataFrame:
     """page_id, paragraph_id, score (greater is better) of the passages with any token of the query.
 
     Only the passages' lengths and the query's own tokens are aggregated; tokens of the query reach the driver's plan as
     constants.
     """
-    terms = terms_of(query)
-    all_tokens = F.concat(tokens(F.coalesce("title", F.lit(""))), tokens(F.coalesce("text", F.lit(""))))
+    terms = terms_of(query, token)
+    all_tokens = F.concat(tokens(F.coalesce("title", F.lit("")), token), tokens(F.coalesce("text", F.lit("")), token))
     rows = passages.select("page_id", "paragraph_id", all_tokens.alias("t")).withColumn("dl", F.size("t"))
     counts = [(F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(terms)]
     rows = rows.select("page_id", "paragraph_id", "dl", *counts)
@@ -77,11 +81,11 @@ def resolve(entities: DataFrame, passages: DataFrame, text: str, limit: int = 20
     return entities.select("entity_id", "label").join(F.broadcast(pages), "entity_id", "right").orderBy(F.desc("score"), "entity_id").select("entity_id", F.coalesce("label", "entity_id").alias("label"))
 
 
-def search(passages: DataFrame, query: str, limit: int = 10, max_chars: int = 4000) -> DataFrame:
+def search(passages: DataFrame, query: str, limit: int = 10, max_chars: int = 4000, token: str = TOKEN) -> DataFrame:
     """page_id, paragraph_id, title, text (its first ``max_chars``), score: the best passages; ties by page and paragraph.  A
     query without tokens finds nothing."""
     if not query.strip() or not 1 <= limit <= 100 or not 1 <= max_chars <= 20_000:
         raise ValueError("LIMIT_EXCEEDED")
-    top = scores(passages, query).orderBy(F.desc("score"), "page_id", "paragraph_id").limit(limit)
+    top = scores(passages, query, token).orderBy(F.desc("score"), "page_id", "paragraph_id").limit(limit)
     out = passages.join(F.broadcast(top), ["page_id", "paragraph_id"])
     return out.select("page_id", "paragraph_id", "title", F.substring("text", 1, max_chars).alias("text"), "score").orderBy(F.desc("score"), "page_id", "paragraph_id")

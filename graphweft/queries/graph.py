@@ -66,6 +66,12 @@ _program("kg_filter_literal_year", FilterLiteral(ALL, "orderdate", "eq", Literal
 _program("kg_filter_literal_contains", FilterLiteral(ALL, "ptype", "contains", Literal("prom")), _ids("'part:' || p_partkey AS entity_id FROM part WHERE contains(lower(p_type), 'prom')"))
 _program("kg_filter_literal_text_target", FilterLiteral(ALL, "acctbal", "le", Literal("100 USD")), _ids("i AS entity_id FROM (SELECT 'customer:' || c_custkey AS i FROM customer WHERE CAST(c_acctbal AS DECIMAL(18,2)) <= 100 UNION SELECT 'supplier:' || s_suppkey FROM supplier WHERE CAST(s_acctbal AS DECIMAL(18,2)) <= 100)"))
 _program("kg_filter_literal_ne_unit_mismatch", FilterLiteral(ALL, "acctbal", "ne", Literal(1, "quantity", "EUR")), _ids("'customer:' || c_custkey AS entity_id FROM customer WHERE false"))
+_program("kg_filter_literal_ne", FilterLiteral(ALL, "segment", "ne", Literal("BUILDING")), _ids("'customer:' || c_custkey AS entity_id FROM customer WHERE c_mktsegment <> 'BUILDING'"))
+_program(
+    "kg_filter_unit_mismatch_or_match", Union((FilterLiteral(ALL, "acctbal", "ne", Literal(1, "quantity", "EUR")), FilterLiteral(ALL, "acctbal", "lt", Literal(0, *USD)))),
+    _ids("i AS entity_id FROM (SELECT 'customer:' || c_custkey AS i FROM customer WHERE CAST(c_acctbal AS DECIMAL(18,2)) < 0 UNION SELECT 'supplier:' || s_suppkey FROM supplier WHERE CAST(s_acctbal AS DECIMAL(18,2)) < 0)"),
+)
+_program("kg_relation_of_order", QueryRelation(FilterType(ALL, "order"), Union((Entity("part:1"), Entity("customer:1"), Entity("supplier:1")))), "SELECT DISTINCT 'literal' AS kind, r AS value FROM (SELECT 'contains' AS r FROM lineitem WHERE l_partkey = 1 UNION SELECT 'placed_by' FROM orders WHERE o_custkey = 1 UNION SELECT 'shipped_by' FROM lineitem WHERE l_suppkey = 1)")
 _program("kg_filter_qualifier_qty", FilterQualifier(Hop(FilterType(ALL, "order"), "contains"), "quantity", "ge", Literal(50, "quantity")), _ids("'part:' || l_partkey AS entity_id FROM lineitem WHERE CAST(l_quantity AS DECIMAL(18,2)) >= 50"))
 _program("kg_filter_qualifier_date", FilterQualifier(Hop(FilterType(ALL, "part"), "contains", "in"), "shipdate", "lt", Literal("1995/03/01", "date")), _ids("'order:' || l_orderkey AS entity_id FROM lineitem WHERE CAST(l_shipdate AS DATE) < DATE '1995-03-01'"))
 _program("kg_filter_qualifier_literal", FilterQualifier(FilterLiteral(ALL, "totalprice", "gt", Literal(200000, *USD)), "status", "eq", Literal("F")), _ids("'order:' || o_orderkey AS entity_id FROM orders WHERE CAST(o_totalprice AS DECIMAL(18,2)) > 200000 AND o_orderstatus = 'F'"))
@@ -249,7 +255,18 @@ def answer_leak(spark: SparkSession, folder: str) -> DataFrame:
     return nations.select("entity_id", verify.leaks(F.lit("Which customers live in Canada, or in the United Kingdom?"), F.col("label"), F.col("aliases")).alias("leaked"))
 
 
+@_query("""WITH k AS (SELECT node_id, min(name) AS label FROM kb WHERE regexp_full_match(name, '[ -~]*[a-z][ -~]*') GROUP BY node_id), b AS (SELECT DISTINCT example_id, question, topic_entity_ids[1] AS node_id FROM benchmark_examples WHERE regexp_full_match(question, '[ -~]*'))
+SELECT example_id, strpos(' ' || trim(regexp_replace(lower(question), '[^a-z0-9_]+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(lower(label), '[^a-z0-9_]+', ' ', 'g')) || ' ') > 0 AS leaked FROM b JOIN k USING (node_id)""")
+def names_in_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the name of its first topic stands in a question, for questions and names in plain letters."""
+    names = table(spark, folder, "kb", "node_id", "name").filter("name rlike '^[ -~]*[a-z][ -~]*$'").groupBy("node_id").agg(F.min("name").alias("label"))
+    rows = table(spark, folder, "benchmark_examples", "example_id", "question", "topic_entity_ids").filter("question rlike '^[ -~]*$'").distinct()
+    rows = rows.select("example_id", "question", F.try_element_at("topic_entity_ids", F.lit(1)).alias("node_id")).join(names, "node_id")
+    return rows.select("example_id", verify.leaks(F.col("question"), F.col("label"), F.lit(None).cast("array<string>")).alias("leaked"))
+
+
 QUERY = "access denied lighthouse saffron"
+SPOKEN = "menschen über habitants впервые музей"
 
 
 @_query(f"""WITH lines AS (SELECT doc_id, u.i - 1 AS paragraph_id, s[u.i] AS text, source FROM (SELECT doc_id, string_split(text, chr(10)) AS s, source FROM documents WHERE text IS NOT NULL), unnest(generate_series(1, len(s))) AS u(i)),
@@ -260,7 +277,19 @@ df AS (SELECT w, count(*) AS df FROM tf WHERE tf > 0 GROUP BY w)
 SELECT page_id, CAST(paragraph_id AS BIGINT) AS paragraph_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
 FROM tf JOIN df USING (w), st WHERE tf > 0 GROUP BY page_id, paragraph_id ORDER BY score DESC, page_id, paragraph_id LIMIT 10""")
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return search.search(star_schema(spark, folder).passages, QUERY).select("page_id", "paragraph_id", F.round("score", 6).alias("score"))
+    return search.search(star_schema(spark, folder).passages, QUERY, token=search.PLAIN).select("page_id", "paragraph_id", F.round("score", 6).alias("score"))
+
+
+@_query(f"""WITH lines AS (SELECT doc_id, u.i - 1 AS paragraph_id, s[u.i] AS text, source FROM (SELECT doc_id, string_split(text, chr(10)) AS s, source FROM documents WHERE text IS NOT NULL), unnest(generate_series(1, len(s))) AS u(i)),
+p AS (SELECT CAST(doc_id AS VARCHAR) AS page_id, paragraph_id, list_concat(regexp_extract_all(lower(coalesce(source, '')), '[\\p{{L}}\\p{{N}}]+'), regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS t FROM lines WHERE trim(text, ' ') <> ''),
+q AS (SELECT DISTINCT unnest(string_split('{SPOKEN}', ' ')) AS w), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM p),
+tf AS (SELECT page_id, paragraph_id, w, len([x for x in t if x = w]) AS tf, len(t) AS dl FROM p, q),
+df AS (SELECT w, count(*) AS df FROM tf WHERE tf > 0 GROUP BY w)
+SELECT page_id, CAST(paragraph_id AS BIGINT) AS paragraph_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+FROM tf JOIN df USING (w), st WHERE tf > 0 GROUP BY page_id, paragraph_id ORDER BY score DESC, page_id, paragraph_id LIMIT 10""")
+def bm25_topk_scripts(spark: SparkSession, folder: str) -> DataFrame:
+    """The best passages for words of several scripts."""
+    return search.search(star_schema(spark, folder).passages, SPOKEN).select("page_id", "paragraph_id", F.round("score", 6).alias("score"))
 
 
 @_query()

@@ -199,6 +199,22 @@ def answer_tags(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", text.between_tags(F.col("text"), "answer").alias("answer")).filter("answer is not null")
 
 
+@_query("SELECT DISTINCT example_id, trim(gold_answers[1].value) AS answer FROM benchmark_examples WHERE trim(gold_answers[1].value) <> ''")
+def answer_tags_written(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers written between tags and read back."""
+    first = F.try_element_at("gold_answers", F.lit(1))["value"]
+    said = F.concat(F.lit("so <answer> "), first, F.lit("\n</answer> and <answer>other</answer>"))
+    rows = table(spark, folder, "benchmark_examples", "example_id", "gold_answers").select("example_id", text.between_tags(said, "answer").alias("answer"))
+    return rows.filter("answer is not null").select("example_id", F.trim("answer").alias("answer")).distinct()
+
+
+@_query("SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(title), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS answer FROM documents WHERE title IS NOT NULL AND regexp_full_match(title, '[ -~]*')")
+def normal_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles normalised as open-question answers are."""
+    rows = table(spark, folder, "documents", "doc_id", "title").filter("title is not null and title rlike '^[ -~]*$'")
+    return rows.select("doc_id", text.normal_answer(F.col("title")).alias("answer"))
+
+
 @_query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type AS role, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY 1, 2")
 def role_rollup(spark: SparkSession, folder: str) -> DataFrame:
     out = streams.role_rollup(table(spark, folder, "events", "ts", "event_type", "value"), "ts", "event_type", "value")

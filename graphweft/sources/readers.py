@@ -139,8 +139,9 @@ def elements(path: str, limit: int | None = None, chars: int = 1 << 20) -> Itera
             if began and held.startswith("]"):
                 held, ended = held[1:].lstrip(), True
             if ended:
-                if held or file.read(chars).strip():
-                    raise ValueError("text after the array")
+                while held := held.strip() or file.read(chars):
+                    if held.strip():
+                        raise ValueError("text after the array")
                 return
             if limit is not None and done >= limit:
                 return
