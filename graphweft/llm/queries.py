@@ -123,6 +123,14 @@ ranked AS (SELECT row_id, source, row_number() OVER (PARTITION BY source ORDER B
 SELECT CAST(slot AS BIGINT) AS slot, source, row_id, CAST(copy AS BIGINT) AS copy FROM filled JOIN ranked USING (source, rank)"""
 
 
+def _shares_sql(config: str, column: str) -> str:
+    """The report of a mixture: rows and slots per source, the share asked for and reached, and how often a row stands at most."""
+    return f"""SELECT w.source, (SELECT count(*) FROM (SELECT row_id, min(lower(trim({column}))) AS s FROM sft_rows WHERE row_id IS NOT NULL AND lower(trim({column})) IN (SELECT replace(lower(trim(field_name)), '_ratio', '') FROM run_config WHERE lower(config_name) = '{config}') GROUP BY row_id) WHERE s = w.source) AS rows,
+coalesce(m.slots, 0) AS slots, w.w / (sum(w.w) OVER ()) AS target, coalesce(m.slots / (sum(m.slots) OVER ())::DOUBLE, 0.0) AS share, coalesce(m.most_copies, 0) AS most_copies, '{column}' AS mixture
+FROM (SELECT replace(lower(trim(field_name)), '_ratio', '') AS source, CAST(trim(field_value) AS DOUBLE) * 100 AS w FROM run_config WHERE lower(config_name) = '{config}' AND lower(field_name) LIKE '%_ratio') w
+LEFT JOIN (SELECT source, count(*) AS slots, max(copy) + 1 AS most_copies FROM ({_mixture_sql(config, column)}) GROUP BY source) m USING (source)"""
+
+
 ORACLES: dict[str, str] = {
     "p1_sample": """WITH c AS (SELECT lower(trim(field_name)) AS f, trim(field_value) AS v, trim(coalesce(applies_to, '')) AS a FROM run_config WHERE lower(config_name) = 'sftcapabilityconfig'),
 own AS (SELECT DISTINCT f AS input_name, row_id, data_source, task_id, prompt, extra_info FROM probe_rows JOIN c ON f LIKE '%_input' AND lower(trim(input_name)) = f AND lower(trim(data_source)) = lower(string_split(a, ' ')[-1]) WHERE row_id IS NOT NULL),
@@ -130,4 +138,5 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY input_name ORDER BY CAST('0
 SELECT input_name, row_id, data_source, task_id, prompt, extra_info FROM ranked WHERE n <= (SELECT CAST(v AS INT) FROM c WHERE f = 'groups')""",
     "p6_by_role": _mixture_sql("prepare_mixed_sft_data", "role"),
     "p6_by_origin": _mixture_sql("selfplayconfig", "origin"),
+    "p6_shares": f"{_shares_sql('prepare_mixed_sft_data', 'role')} UNION ALL {_shares_sql('selfplayconfig', 'origin')}",
 }
