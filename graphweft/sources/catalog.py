@@ -66,7 +66,7 @@ def build(spark: SparkSession, **frames: DataFrame) -> GraphCatalog:
 
 
 # The nine-entity example graph.
-TOY_ENTITIES = [
+EXAMPLE_ENTITIES = [
     ("alice", "Alice", []),
     ("bob", "Bob", []),
     ("cara", "Cara", []),
@@ -77,7 +77,7 @@ TOY_ENTITIES = [
     ("france", "France", []),
     ("uk", "United Kingdom", ["UK"]),
 ]
-TOY_TYPES = [
+EXAMPLE_TYPES = [
     ("alice", "person"),
     ("bob", "person"),
     ("cara", "person"),
@@ -88,7 +88,7 @@ TOY_TYPES = [
     ("france", "country"),
     ("uk", "country"),
 ]
-TOY_EDGES = [
+EXAMPLE_EDGES = [
     ("alice", "works_at", "acme"),
     ("bob", "works_at", "acme"),
     ("cara", "works_at", "globex"),
@@ -100,11 +100,15 @@ TOY_EDGES = [
     ("paris", "country", "france"),
     ("london", "country", "uk"),
 ]
-TOY_AGES = [("alice", "34"), ("bob", "29"), ("cara", "41")]
+EXAMPLE_AGES = [("alice", "34"), ("bob", "29"), ("cara", "41")]
+# The same, keyed by entity and as text, for callers that look things up.
+TOY_ENTITIES = {i: (label, dict(EXAMPLE_TYPES)[i], *aliases) if aliases else (label, dict(EXAMPLE_TYPES)[i], "") for i, label, aliases in EXAMPLE_ENTITIES}
+TOY_EDGES = "|".join(" ".join(e) for e in EXAMPLE_EDGES)
+TOY_AGES = dict(EXAMPLE_AGES)
 
 
 def toy(spark: SparkSession) -> GraphCatalog:
-    return from_triples(spark, TOY_EDGES, TOY_ENTITIES, TOY_TYPES, [(i, "age", v, "number", None) for i, v in TOY_AGES])
+    return from_triples(spark, EXAMPLE_EDGES, EXAMPLE_ENTITIES, EXAMPLE_TYPES, [(i, "age", v, "number", None) for i, v in EXAMPLE_AGES])
 
 
 def from_triples(spark: SparkSession, triples: list, entities: list = (), types: list = (), attributes: list = ()) -> GraphCatalog:

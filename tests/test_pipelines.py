@@ -252,4 +252,4 @@ def test_exports(spark, toy):
 def test_queries_of_the_core_have_sql():
     from graphweft.queries import registry
 
-    assert set(registry.queries()) - set(registry.oracles()) <= {"shortcut_search", "program_analytics", "stream_budget", "p2_found", "p2_wide", "p4_found", "p4_converted"}
+    assert set(registry.queries()) - set(registry.oracles()) <= {"shortcut_search", "program_analytics", "stream_budget", "p2_wide"}
