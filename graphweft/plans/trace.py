@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphweft.operators import primitives
@@ -153,29 +154,36 @@ def sample(catalog: GraphCatalog, count: int, seed: int, frontier: int = 100) ->
     c = Compiler(catalog)
     ids = catalog.entities.select("entity_id").distinct()
 
-    def start(k: int) -> str | None:
-        row = ids.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.lit(k), "entity_id"), 256)).limit(1).collect()
-        return row[0].entity_id if row else None
+    # Roots and what is around each of them, in one job each: ``count`` roots, ``frontier`` edges of each at most.
+    roots = [r.entity_id for r in ids.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), "entity_id"), 256), "entity_id").limit(count).collect()]
+    near = [catalog.triples.filter(F.col(side).isin(roots)).select(F.col(side).alias("root"), *primitives.ORDER) for side in ("subject", "object")]
+    rank = F.row_number().over(W.partitionBy("root").orderBy(*primitives.ORDER))
+    around: dict[str, list] = {}
+    if roots:
+        for t in near[0].unionByName(near[1]).distinct().withColumn("_n", rank).filter(F.col("_n") <= frontier).orderBy("root", "_n").collect():
+            around.setdefault(t.root, []).append(t)
 
     def one_of(rows: list, *about: object) -> Any:
         return rows[pick(seed, *about) % len(rows)] if rows else None
 
-    def step(node: M.Node, k: int, depth: int) -> M.Node | None:
+    def first(root: str, k: int) -> M.Node | None:
+        t = one_of(around.get(root, []), k, "step", 1)
+        return M.Hop(M.Entity(root), t.relation, "out" if t.subject == root else "in") if t else None
+
+    def step(node: M.Node, k: int) -> M.Node | None:
         near = c.entities(node)
-        triples = primitives.neighbors(catalog, near, "both", limit=frontier).collect()
-        t = one_of(triples, k, "step", depth)
+        t = one_of(primitives.neighbors(catalog, near, "both", limit=frontier).collect(), k, "step", 2)
         if t is None:
             return None
-        inside = not near.filter(F.col("entity_id") == t.subject).isEmpty()
-        return M.Hop(node, t.relation, "out" if inside else "in")
+        return M.Hop(node, t.relation, "in" if near.filter(F.col("entity_id") == t.subject).isEmpty() else "out")
 
     out: list[tuple[str, M.Node | None, str | None]] = []
     for k in range(count):
         family = FAMILIES[k % len(FAMILIES)]
-        root = start(k)
-        program: M.Node | None = step(M.Entity(root), k, 1) if root is not None else None
+        root = roots[k % len(roots)] if roots else None
+        program: M.Node | None = first(root, k) if root is not None else None
         if family == "hop2" and program is not None:
-            program = step(program, k, 2)
+            program = step(program, k)
         elif family == "filter_type" and program is not None:
             kinds = catalog.entity_types.join(c.entities(program), "entity_id", "left_semi").select("type_id").distinct().orderBy("type_id").limit(frontier).collect()
             kind = one_of(kinds, k, "type")
