@@ -72,10 +72,15 @@ def clean(spark: SparkSession) -> None:
     """Drops the tables and deletes the files that operators of this session made, once their results are no longer needed."""
     while _tables:
         spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
-    jvm = spark.sparkContext._jvm
     while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        discard(spark, _made[-1])
+
+
+def discard(spark: SparkSession, made: str) -> None:
+    """Deletes what was made at a path that ``fresh_path`` gave."""
+    _made.remove(made)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
